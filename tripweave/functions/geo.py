@@ -20,6 +20,21 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(EARTH_KM) * 2 * F.atan2(F.sqrt(half), F.sqrt(1 - half))
 
 
+def unit_vector(lat, lon) -> Column:
+    """A coordinate as a point on the unit sphere: trigonometry once per place."""
+    lat, lon = F.radians(col(lat)), F.radians(col(lon))
+    return F.struct(
+        (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z")
+    )
+
+
+def between_units(a, b) -> Column:
+    """Great-circle km between two unit vectors; no trigonometry but one arc sine."""
+    a, b = col(a), col(b)
+    dx, dy, dz = a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"]
+    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(dx * dx + dy * dy + dz * dz) / 2))
+
+
 def local_metres(lat1, lon1, lat2, lon2) -> Column:
     """Equirectangular metres; right for a few hundred metres."""
     lat1, lon1, lat2, lon2 = col(lat1), col(lon1), col(lat2), col(lon2)
@@ -40,6 +55,26 @@ def segment_km(lat, lon, a_lat, a_lon, b_lat, b_lon) -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
+def with_segment_km(frame, name: str, a: tuple[str, str], b: tuple[str, str], point: tuple[str, str] = ("lat", "lon")):
+    """Add the distance to a segment step by step.
+
+    Written as one expression the shared terms would be expanded dozens of times; as
+    columns of their own each is computed once and the generated method stays small.
+    """
+    lat, lon = F.col(point[0]), F.col(point[1])
+    return (
+        frame.withColumn("_w", F.cos(F.radians((F.col(a[0]) + F.col(b[0]) + lat) / 3)) * KM_PER_LON)
+        .withColumns({
+            "_px": (lon - F.col(a[1])) * F.col("_w"), "_py": (lat - F.col(a[0])) * KM_PER_LAT,
+            "_dx": (F.col(b[1]) - F.col(a[1])) * F.col("_w"), "_dy": (F.col(b[0]) - F.col(a[0])) * KM_PER_LAT,
+        })
+        .withColumn("_n", F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+        .withColumn("_t", F.expr("CASE WHEN _n > 0 THEN greatest(0e0, least(1e0, (_px * _dx + _py * _dy) / _n)) ELSE 0e0 END"))
+        .withColumn(name, F.expr("hypot(_px - _t * _dx, _py - _t * _dy)"))
+        .drop("_w", "_px", "_py", "_dx", "_dy", "_n", "_t")
+    )
+
+
 def place_key(lat, lon) -> Column:
     """A coordinate rounded to six decimals, packed into one BIGINT join key."""
     return F.round(col(lat) * 1e6).cast("bigint") * F.lit(1_000_000_000) + F.round(col(lon) * 1e6).cast("bigint")

@@ -52,7 +52,9 @@ def hub_facts(hubs: DataFrame, outlets: DataFrame, nodes: DataFrame) -> DataFram
 def hub_category_rows(facts: DataFrame) -> DataFrame:
     """One row per hub and own category."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(29)), lambda c: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), c)) != 0)
-    return facts.select("hub_id", "lat", "lon", "kind", "node_m", "mask", F.explode(bits).alias("category"))
+    return facts.select(
+        "hub_id", "lat", "lon", geo.unit_vector("lat", "lon").alias("unit"), "kind", "node_m", "mask", F.explode(bits).alias("category")
+    )
 
 
 def hub_brands(outlets: DataFrame) -> DataFrame:
@@ -119,8 +121,15 @@ def searches(trips: DataFrame, substitutes: DataFrame | None) -> DataFrame:
 
 
 def with_route(rows: DataFrame, routes: DataFrame) -> DataFrame:
-    """Searches with the ends and the baseline plan of their trip."""
-    return rows.join(routes, "trip_id")
+    """Searches with the ends and the baseline plan of their trip.
+
+    A walk has no stations: both end legs are then the walk itself.
+    """
+    ends = routes.withColumns({
+        "f_lat": F.coalesce("f_lat", "d_lat"), "f_lon": F.coalesce("f_lon", "d_lon"),
+        "l_lat": F.coalesce("l_lat", "o_lat"), "l_lon": F.coalesce("l_lon", "o_lon"),
+    }).withColumn("o_unit", geo.unit_vector("o_lat", "o_lon")).withColumn("d_unit", geo.unit_vector("d_lat", "d_lon"))
+    return rows.join(ends, "trip_id")
 
 
 # --- corridor -----------------------------------------------------------------
@@ -139,12 +148,8 @@ def rail_line_hubs(plans: DataFrame, hubs: DataFrame) -> DataFrame:
     stretch = ["a_lat", "a_lon", "b_lat", "b_lon"]
     km = params.CORRIDOR_KM
     cells = rows.select(*stretch).distinct().withColumn("cell", F.explode(_segment_cells(*stretch)))
-    near = (
-        cells.join(hubs.withColumn("cell", _cell_of("lat", "lon")), "cell")
-        .withColumn("km", geo.segment_km("lat", "lon", *stretch))
-        .filter(F.col("km") <= km)
-        .drop("cell", "lat", "lon")
-    )
+    met = cells.join(hubs.withColumn("cell", _cell_of("lat", "lon")), "cell").drop("cell")
+    near = geo.with_segment_km(met, "km", ("a_lat", "a_lon"), ("b_lat", "b_lon")).filter(F.col("km") <= km).drop("lat", "lon")
     return rows.join(near, stretch).groupBy("s", "t", "hub_id").agg(F.min("km").alias("rail_km"))
 
 
@@ -162,41 +167,44 @@ def _segment_cells(a_lat, a_lon, b_lat, b_lon) -> Column:
 
 
 def measure(rows: DataFrame, rail_km: Column) -> DataFrame:
-    """Distances of a (search, hub) row: to the route, to the ends, and by chord."""
-    hub = ("lat", "lon")
-    on_foot = F.when(F.col("walk_only"), geo.segment_km(*hub, "o_lat", "o_lon", "d_lat", "d_lon")).otherwise(
-        F.least(geo.segment_km(*hub, "o_lat", "o_lon", "f_lat", "f_lon"), geo.segment_km(*hub, "l_lat", "l_lon", "d_lat", "d_lon"))
-    )
-    from_o, to_d = geo.haversine_km("o_lat", "o_lon", *hub), geo.haversine_km(*hub, "d_lat", "d_lon")
-    rows = rows.withColumn("from_o", from_o).withColumn("to_d", to_d)
-    return rows.select(
-        "*", F.least(on_foot, rail_km).alias("line_km"),
-        F.greatest(F.lit(0.0), F.col("from_o") + F.col("to_d") - F.col("base_km")).alias("chord_km"),
-    )
+    """Distances of a (search, hub) row: to the route, to the ends, and by chord.
+
+    ``inside`` says whether the hub is in the corridor. It is a column and not a filter,
+    since a filter pushed below these columns would compute them twice.
+    """
+    rows = geo.with_segment_km(rows, "_on_km", ("o_lat", "o_lon"), ("f_lat", "f_lon"))
+    rows = geo.with_segment_km(rows, "_off_km", ("l_lat", "l_lon"), ("d_lat", "d_lon"))
+    rows = rows.withColumns({
+        "from_o": geo.between_units("o_unit", "unit"), "to_d": geo.between_units("unit", "d_unit"),
+        "line_km": F.least("_on_km", "_off_km", rail_km),
+    }).drop("_on_km", "_off_km")
+    return rows.withColumns({
+        "chord_km": F.greatest(F.lit(0.0), F.col("from_o") + F.col("to_d") - F.col("base_km")),
+        "inside": (F.col("line_km") <= params.CORRIDOR_KM) | (F.least("from_o", "to_d") <= params.ENDPOINT_KM),
+    })
 
 
 def near_route(rows: DataFrame, hubs: DataFrame, line_hubs: DataFrame, keys: list[str]) -> DataFrame:
-    """(search, hub) rows inside the corridor; a hub near both legs and line comes twice.
+    """(search, hub) rows around the route, marked ``inside`` the corridor or not.
 
     ``rows`` carry the search with its baseline; ``hubs`` carry the same ``keys``. The
     line part is an equi-join on the station pair, computed once per pair and hub; the
-    two walking legs meet hubs by cell.
+    two end legs meet hubs by cell. A hub near both comes twice.
     """
     on_line = rows.filter("NOT walk_only").join(line_hubs.join(hubs, "hub_id"), ["s", "t", *keys])
     on_line = measure(on_line, F.col("rail_km")).drop("rail_km")
-    legs = F.when(F.col("walk_only"), _segment_cells("o_lat", "o_lon", "d_lat", "d_lon")).otherwise(
-        F.array_distinct(F.concat(_segment_cells("o_lat", "o_lon", "f_lat", "f_lon"), _segment_cells("l_lat", "l_lon", "d_lat", "d_lon")))
-    )
+    legs = F.array_distinct(F.concat(_segment_cells("o_lat", "o_lon", "f_lat", "f_lon"), _segment_cells("l_lat", "l_lon", "d_lat", "d_lon")))
     by_cell = rows.withColumn("cell", F.explode(legs)).join(hubs.withColumn("cell", _cell_of("lat", "lon")), ["cell", *keys]).drop("cell")
-    beside = measure(by_cell, F.lit(None).cast("double")).filter(
-        (F.col("line_km") <= params.CORRIDOR_KM) | (F.least("from_o", "to_d") <= params.ENDPOINT_KM)
-    )
-    return on_line.unionByName(beside)
+    return on_line.unionByName(measure(by_cell, F.lit(None).cast("double")))
 
 
 def expand_categories(rows: DataFrame, closure: DataFrame) -> DataFrame:
-    """Searches repeated for each category that can satisfy them, descendants included."""
-    sets = closure.groupBy("ancestor").agg(F.collect_list("category").alias("cats"))
+    """Searches repeated for each category that can satisfy them, descendants included.
+
+    The closure is the taxonomy itself, thirty rows, so it is broadcast: joined by shuffle
+    the searches without a second errand would all land on one task.
+    """
+    sets = F.broadcast(closure.groupBy("ancestor").agg(F.collect_list(F.col("category").cast("int")).alias("cats")))
     one = sets.select(F.col("ancestor").alias("c1"), F.col("cats").alias("cats1"))
     two = sets.select(F.col("ancestor").alias("c2"), F.col("cats").alias("cats2"))
     whole = rows.join(one, "c1").join(two, "c2", "left").withColumn(
@@ -242,6 +250,11 @@ def tags() -> Column:
     )
 
 
+def inside_only(found: Column) -> Column:
+    """No rows for hubs outside the corridor when exploded."""
+    return F.when(F.col("inside"), found)
+
+
 SLIM = (
     "sid", "hub_id", "two", "max_candidates", "kind", "node_m", "has1", "has2", "coverage", "transit", "line_km", "from_o", "to_d", "chord_km",
 )
@@ -255,7 +268,7 @@ def top_lists(rows: DataFrame, limit: int, *first: str) -> DataFrame:
 
 
 def tagged(rows: DataFrame) -> DataFrame:
-    return flags(rows).withColumn("tag", F.explode(tags())).select(*SLIM, "tag")
+    return flags(rows).withColumn("tag", F.explode(inside_only(tags()))).select(*SLIM, "tag")
 
 
 def category_pairs(hub_rows: DataFrame) -> DataFrame:
@@ -288,7 +301,7 @@ def full_cover(search_rows: DataFrame, hub_rows: DataFrame, line_hubs: DataFrame
     """Corridor hubs that serve both errands, all of them: an equi-join on the category pair."""
     pairs = category_pairs(hub_rows)
     both = near_route(search_rows.filter("c2 IS NOT NULL AND c1 <> c2"), pairs, line_hubs, ["c1", "c2"])
-    return flags(both).withColumn("tag", F.lit(3)).select(*SLIM, "tag")
+    return flags(both).withColumn("tag", F.explode(inside_only(F.array(F.lit(3))))).select(*SLIM, "tag")
 
 
 def _own_limit() -> Column:

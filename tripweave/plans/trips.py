@@ -1,7 +1,7 @@
 """The trip planner: trips and a catalog in, recommendations out.
 
 Every stage is a table keyed by search or trip. Stages that several others read are
-kept with a reliable checkpoint, so a lost executor costs a re-read and not the plan.
+written once to the shared folder, so a lost executor costs a re-read and not the plan.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import params
 from ..functions import geo
 from ..operators import candidates, catalog, evaluate, network, rank
+from ..session import spread, store
 
 
 class TripPlan:
@@ -30,7 +31,7 @@ class TripPlan:
     def _once(self, name: str, build, keep: bool = False) -> DataFrame:
         if name not in self._made:
             frame = build()
-            self._made[name] = frame.checkpoint(eager=True) if keep else frame
+            self._made[name] = store(frame, name) if keep else frame
         return self._made[name]
 
     # --- network
@@ -48,7 +49,7 @@ class TripPlan:
 
     # --- catalog
     def closure(self):
-        return self._once("closure", lambda: candidates.category_closure(self.categories))
+        return self._once("closure", lambda: candidates.category_closure(self.categories), keep=True)
 
     def substitutes(self):
         def build():
@@ -80,7 +81,7 @@ class TripPlan:
         return self._once("choices", build, keep=True)
 
     def price(self, pairs: DataFrame) -> DataFrame:
-        return network.price(pairs, self.choices(), self.plans())
+        return network.price(spread(pairs, "from_place", "to_place"), self.choices(), self.plans())
 
     def routes(self):
         """Each trip with its direct trip: price, station pair and the ends of the line."""
@@ -109,7 +110,7 @@ class TripPlan:
         def build():
             rows = candidates.searches(self.trips, self.substitutes() if self.with_fallbacks else None)
             ends = self.routes().drop("base_minutes", "base_walk_minutes", "base_walk_m", "base_transfers")
-            return candidates.with_route(rows, ends)
+            return spread(candidates.with_route(rows, ends), "sid")
 
         return self._once("searches", build, keep=True)
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import prepare, store
 from ..tables import BINDINGS, TABLES, bound, given
 
 QUERIES: dict[str, Callable] = {}
@@ -42,8 +42,8 @@ class Given:
         return self._made[name]
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A stage several consumers read: its lineage is cut by a reliable checkpoint."""
-        return self.make(name, lambda: build().checkpoint(eager=True))
+        """A stage several consumers read, written once to the shared folder."""
+        return self.make(name, lambda: store(build(), name))
 
 
 _CURRENT: dict[str, object] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +53,26 @@ def checkpoint_root(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="spark-tripweave-")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir() or configured
+
+
+def spread(frame, *keys: str):
+    """Rows over all shuffle partitions ahead of a step that multiplies them.
+
+    Adaptive execution sizes partitions by the bytes it sees, not by what a following
+    explode or cell join makes of them; an explicit count keeps the work parallel.
+    """
+    spark = frame.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return frame.repartition(wanted, *keys)
+
+
+def store(frame, name: str = "stage"):
+    """A stage written once to the shared folder and read back.
+
+    It cuts the lineage like a checkpoint, and the reader knows the table's real size, so
+    a small stage is broadcast and a large one is not. A lost executor costs a re-read.
+    """
+    spark = frame.sparkSession
+    path = f"{checkpoint_root(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
