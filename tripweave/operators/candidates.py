@@ -438,6 +438,20 @@ def options(rows: DataFrame) -> DataFrame:
     return single.unionByName(paired)
 
 
+def within_cap(rows: DataFrame) -> DataFrame:
+    """Options within the chord cap; the cap is ignored where no option passes."""
+    capped = F.col("chord_km") <= params.CHORD_CAP_KM
+    return rows.withColumn("cost3", F.round("cost_km", 3)).withColumn(
+        "any_capped", F.max(capped).over(Window.partitionBy("sid"))
+    ).filter(capped | ~F.col("any_capped")).drop("any_capped")
+
+
+def network_order(rows: DataFrame) -> DataFrame:
+    """Place of each option by network cost, chord, stop count and ids."""
+    order = ["cost3", "chord_km", "n_stops", "stop1", F.coalesce("stop2", F.lit(-1))]
+    return rows.withColumn("at", F.row_number().over(Window.partitionBy("sid").orderBy(*order)))
+
+
 def prune(rows: DataFrame) -> DataFrame:
     """The options worth a routing call, with their position in the list.
 
@@ -445,11 +459,6 @@ def prune(rows: DataFrame) -> DataFrame:
     beside each end always stays, taking the place of the last one not so reserved.
     """
     whole = Window.partitionBy("sid")
-    order = ["cost3", "chord_km", "n_stops", "stop1", F.coalesce("stop2", F.lit(-1))]
-    capped = F.col("chord_km") <= params.CHORD_CAP_KM
-    pool = rows.withColumn("cost3", F.round("cost_km", 3)).withColumn("any_capped", F.max(capped).over(whole)).filter(
-        capped | ~F.col("any_capped")
-    )
 
     def beside(reach: str) -> Column:
         near = F.col(reach) <= params.RESERVE_KM
@@ -457,7 +466,7 @@ def prune(rows: DataFrame) -> DataFrame:
         return near & (rank == 1)
 
     rows = (
-        pool.withColumn("at", F.row_number().over(whole.orderBy(*order)))
+        network_order(within_cap(rows))
         .withColumn("by_o", beside("o_reach"))
         .withColumn("by_d", beside("d_reach"))
         .filter((F.col("at") <= F.col("max_candidates")) | F.col("by_o") | F.col("by_d"))
@@ -477,7 +486,7 @@ def prune(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("turn", turn).filter(~dropped)
     slot = F.try_element_at("slots", F.greatest(F.size("slots") - F.col("turn") + 1, F.lit(1)))
     return rows.withColumn("position", F.when(F.col("outside"), slot).otherwise(F.col("at"))).drop(
-        "any_capped", "at", "by_o", "by_d", "outside", "n_outside", "from_end", "slots", "turn"
+        "at", "by_o", "by_d", "outside", "n_outside", "from_end", "slots", "turn"
     )
 
 

@@ -115,7 +115,8 @@ def score(orders: DataFrame) -> DataFrame:
         F.col("added_minutes") * params.WEIGHT_DETOUR * F.col("detour_factor")
         + F.col("added_walk_minutes") * params.WEIGHT_WALKING * F.col("walking_factor")
         + F.col("added_transfers") * params.WEIGHT_TRANSFER * F.col("transfer_factor")
-        - F.col("quality") * params.BONUS_QUALITY,
+        - F.col("quality") * params.BONUS_QUALITY
+        + 1e-7,  # exact halves of the fourth decimal always round up
         3,
     )
     bonus = F.when(has_preferred & met, params.BONUS_BRAND).otherwise(0.0) + F.when(
