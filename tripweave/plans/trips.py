@@ -243,3 +243,43 @@ class TripPlan:
         shown = self.recommended().select("trip_id", F.lit("recommended").alias("role"), F.col("result").alias("name"), F.col("slot").alias("place"), *fields)
         also = self.considered().select("trip_id", F.lit("considered").alias("role"), F.lit("compared").alias("name"), "place", *fields)
         return self.outcomes().join(shown.unionByName(also), "trip_id", "left")
+
+    def funnel(self):
+        """Per trip: what each stage of the main search let through."""
+        main = self.searches().filter("search_no = 0")
+        spread_out = candidates.expand_categories(main, self.closure())
+        pairs = main.select("c1", "c2").distinct().withColumn("sid", F.monotonically_increasing_id())
+        in_category = candidates.once_per_hub(candidates.expand_categories(pairs, self.closure()).join(self.hub_rows(), "category"))
+        per_pair = in_category.groupBy("c1", "c2").agg(F.count("*").alias("category_hubs"))
+        met = candidates.flags(candidates.once_per_hub(candidates.near_route(spread_out, self.hub_rows(), self.line_hubs(), ["category"])))
+        near = met.filter("inside").groupBy("sid", "hub_id").agg(F.bool_or("transit").alias("transit"))
+        far = candidates.corridor_fallback(main, self.near_lists(), self.hub_rows(), self.closure(), self.lines())
+        near = near.unionByName(far.groupBy("sid", "hub_id").agg(F.bool_or("transit").alias("transit")))
+        corridor = near.groupBy("sid").agg(F.count("*").alias("corridor_hubs"), F.count_if("transit").alias("n"))
+        extra = self.rescued().select("sid", "hub_id").distinct().groupBy("sid").agg(F.count("*").alias("extra"))
+        counted = candidates.option_counts(self.shortlist()).unionByName(
+            candidates.option_counts(self.exact_shortlist().join(candidates.option_counts(self.shortlist()).filter("n_options > 0").select("sid"), "sid", "left_anti"))
+        ).groupBy("sid").agg(F.max("n_options").alias("options"))
+        left = [self.pruned().groupBy("sid").agg(F.count("*").alias("pruned")), self.admitted().groupBy("sid").agg(F.count("*").alias("admitted"))]
+        done = self.scored().groupBy("sid").agg(F.count("*").alias("evaluated"), F.count_if("excessive").alias("over_detour_cap"))
+        lost = self.totals().filter("n_priced < n_segments").groupBy("sid").agg(F.count("*").alias("unpriced"))
+        rows = main.select("trip_id", "sid", "c1", "c2")
+        rows = rows.join(per_pair, (rows.c1 == per_pair.c1) & rows.c2.eqNullSafe(per_pair.c2), "left").drop("c1", "c2")
+        for part in (corridor, extra, counted, *left, done, lost):
+            rows = rows.join(part, "sid", "left")
+        rows = rows.fillna(0)
+        transit = F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("corridor_hubs")) + F.col("extra")
+        return rows.select("trip_id", "category_hubs", "corridor_hubs", transit.alias("transit_hubs"), "options", "pruned", "admitted", "evaluated", "unpriced", "over_detour_cap")
+
+    def call_summary(self):
+        """Routing work over all trips: distinct pairs priced per trip and how many were shared."""
+        asked = self.segments().join(self.orders().select("sid", "trip_id").distinct(), "sid").select("trip_id", "from_place", "to_place")
+        direct = self.routes().select("trip_id", geo.place_key("o_lat", "o_lon").alias("from_place"), geo.place_key("d_lat", "d_lon").alias("to_place"))
+        each = asked.unionByName(direct).groupBy("trip_id", "from_place", "to_place").agg(F.count("*").alias("n"))
+        per = each.groupBy("trip_id").agg(F.count("*").alias("calls"), F.sum("n").alias("asked"))
+        found = self.winners().select("trip_id").distinct().withColumn("found", F.lit(1))
+        return per.join(found, "trip_id", "left").agg(
+            F.count("*").alias("case_count"), F.round(F.avg("calls"), 2).alias("average_route_calls"), F.max("calls").alias("worst_route_calls"),
+            F.round(1 - F.sum("calls") / F.sum("asked"), 4).alias("cache_hit_rate"), F.count_if(F.col("calls") > params.SOFT_BUDGET).alias("over_soft_budget"),
+            F.count_if(F.col("calls") > params.HARD_BUDGET).alias("over_hard_budget"), F.count_if(F.col("found").isNull()).alias("without_result"),
+        )

@@ -74,6 +74,9 @@ def query(key: str, oracle: str | None = None):
 
 
 def define(**expressions: str) -> None:
+    twice = set(expressions) & set(EXPRESSIONS)
+    if twice:
+        raise ValueError(f"expressions defined twice: {sorted(twice)}")
     EXPRESSIONS.update(expressions)
 
 

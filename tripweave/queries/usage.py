@@ -4,7 +4,7 @@ from ..operators import usage
 from .registry import define, query
 
 define(
-    x_search="""SELECT search_id,
+    x_search_flag="""SELECT search_id,
  MAX(CASE WHEN event_type='search_started' THEN 1 ELSE 0 END) started,
  MAX(CASE WHEN event_type='optimization_completed' THEN 1 ELSE 0 END) completed,
  MAX(CASE WHEN event_type='interpretation_corrected' THEN 1 ELSE 0 END) corrected,
@@ -15,7 +15,7 @@ define(
  MAX(CASE WHEN event_type='recommendation_selected' AND recommendation_rank=1 THEN 1 ELSE 0 END) rank_one
  FROM b_event WHERE search_id IS NOT NULL GROUP BY search_id""",
     x_totals="""SELECT SUM(started) started, SUM(completed) completed, SUM(corrected) corrected, SUM(no_result) no_result,
- SUM(selected) selected, SUM(alternative) alternative, SUM(navigated) navigated, SUM(rank_one) rank_one FROM x_search""",
+ SUM(selected) selected, SUM(alternative) alternative, SUM(navigated) navigated, SUM(rank_one) rank_one FROM x_search_flag""",
     x_search_rates="""SELECT CAST(started AS BIGINT) searches, ROUND(completed*1e0/started,4) completion_rate,
  ROUND(corrected*1e0/started,4) parse_correction_rate, ROUND(no_result*1e0/started,4) no_result_rate FROM x_totals""",
     x_selection_rates="""SELECT ROUND(rank_one*1e0/completed,4) rank_one_acceptance_rate,
