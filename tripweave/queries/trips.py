@@ -354,7 +354,7 @@ def _(g):
     return candidates.near_misses(needs, p.hub_rows(), p.substitutes(), p.closure()).withColumn("chord_km", F.round("chord_km", 6)).select("trip_id", F.col("asked").cast("int").alias("asked"), F.col("substitute").cast("int").alias("substitute"), "hub_id", "chord_km")
 
 
-@query("win_budget_admission")
+@query("win_budget_admission", "SELECT trip_id, sid, stop1, stop2, CAST(position AS INTEGER) AS position FROM x_admitted")
 def _(g):
     return plan(g).admitted().select("trip_id", "sid", "stop1", "stop2", "position")
 
