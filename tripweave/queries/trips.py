@@ -93,7 +93,7 @@ def price_sql(pairs: str) -> str:
   GREATEST(0.12e0,{H('a_lat','a_lon','p.f_lat','p.f_lon')}) AS on_km, GREATEST(0.12e0,{H('p.l_lat','p.l_lon','b_lat','b_lon')}) AS off_km
   FROM (SELECT a_lat, a_lon, b_lat, b_lon, s, t FROM (SELECT q.a_lat, q.a_lon, q.b_lat, q.b_lon, m.s, m.t,
     ROW_NUMBER() OVER (PARTITION BY q.a_lat, q.a_lon, q.b_lat, q.b_lon ORDER BY ROUND(x.minutes+3+m.minutes+y.minutes,9), m.s, m.t) AS rn
-    FROM {pairs} q JOIN x_choice x ON x.lat=q.a_lat AND x.lon=q.a_lon JOIN x_choice y ON y.lat=q.b_lat AND y.lon=q.b_lon JOIN x_matrix m ON m.s=x.station_id AND m.t=y.station_id) r WHERE rn=1) k
+    FROM {pairs} q LEFT JOIN x_choice x ON x.lat=q.a_lat AND x.lon=q.a_lon LEFT JOIN x_choice y ON y.lat=q.b_lat AND y.lon=q.b_lon LEFT JOIN x_matrix m ON m.s=x.station_id AND m.t=y.station_id) r WHERE rn=1) k
   LEFT JOIN x_plan_at p ON p.s=k.s AND p.t=k.t) z"""
 
 
