@@ -152,8 +152,14 @@ def _(g):
     return rows.select(F.concat("kind", F.lit("/"), F.col("id").cast("string")).alias("source_id"), search.place_category("t").alias("category"))
 
 
-@query("join_place_grounding", f"""SELECT l.lead_id, h.hub_id FROM b_lead l JOIN b_hub h ON h.closure_status<>'closed' AND contains(' ' || {_norm('l.text')} || ' ', ' ' || {_norm('h.name')} || ' ')
- WHERE regexp_extract(l.text,'\\bat ([A-Z][A-Za-z]+(?: [A-Z][a-z]+)?)',1)='' OR contains(' ' || {_norm('h.address')} || ' ', ' ' || lower(regexp_extract(l.text,'\\bat ([A-Z][A-Za-z]+(?: [A-Z][a-z]+)?)',1)) || ' ')""")
+define(
+    x_lead_text=f"SELECT text, {_norm('text')} AS norm, lower(regexp_extract(text,'\\bat ([A-Z][A-Za-z]+(?: [A-Z][a-z]+)?)',1)) AS hint FROM (SELECT DISTINCT text FROM b_lead) d",
+    x_hub_text=f"SELECT hub_id, ' ' || {_norm('name')} || ' ' AS norm, ' ' || {_norm('address')} || ' ' AS spot FROM b_hub WHERE closure_status<>'closed'",
+    x_lead_hit="SELECT t.text, h.hub_id FROM x_lead_text t JOIN x_hub_text h ON contains(' ' || t.norm || ' ', h.norm) WHERE t.hint='' OR contains(h.spot, ' ' || t.hint || ' ')",
+)
+
+
+@query("join_place_grounding", "SELECT l.lead_id, x.hub_id FROM b_lead l JOIN x_lead_hit x ON x.text=l.text")
 def _(g):
     return search.grounded(g.lead, g.hub).select("lead_id", "hub_id")
 
