@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, quality, simhash, toxicity
+from . import bpe, chat, extract, hnsw, packing, quality, shuffle, simhash, toxicity, warc
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,12 +39,25 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return judged.select(F.col("pack.doc_id").alias("doc_id"), *quality.BASE, "base_failed", "kept")
 
 
+@query
+def op5_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = shuffle.shuffle(docs, 24)
+    return placed.select("pack.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
@@ -63,6 +76,27 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op6_chat"] = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -76,3 +110,33 @@ SELECT conv_id,
        CAST(sum(10 + 9 + 5 + length(regexp_replace(role || text, '([<\[\\])', '\1\\', 'g'))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(
+    f"substr('{_DIGITS}', CAST(1 + ((('0x' || substr(hex, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31) AS BIGINT), 1)" for i in range(8) for shift in (15, 10, 5, 0)
+)
+
+ORACLES["op9_warc"] = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+best AS (SELECT hex, max(page_id) AS winner FROM payloads GROUP BY hex)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM payloads JOIN best USING (hex)
+"""
+
+ORACLES["op8_extract"] = r"""
+WITH bodies AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages
+), blocks AS (
+  SELECT page_id, url, unnest(regexp_split_to_array(body, '</?(?:p|h1)>')) AS block, generate_subscripts(regexp_split_to_array(body, '</?(?:p|h1)>'), 1) AS place FROM bodies
+), plain AS (
+  SELECT page_id, url, place,
+         trim(regexp_replace(replace(replace(replace(replace(regexp_replace(block, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS line
+  FROM blocks
+), texts AS (
+  SELECT page_id, string_agg(line, chr(10) ORDER BY place) AS text FROM plain WHERE line <> '' GROUP BY page_id
+)
+SELECT p.page_id, p.url, coalesce(t.text, '') AS text, CAST(length(coalesce(t.text, '')) AS BIGINT) AS n_chars
+FROM pages p LEFT JOIN texts t USING (page_id)
+"""
