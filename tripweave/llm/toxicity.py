@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import field, packed, slices, store
 
@@ -284,8 +285,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: st
                 yield pa.RecordBatch.from_arrays([batch.column(0), values, pa.array([int(v >= 0.5) for v, _ in found], pa.int32()), passages], ["pack", "score", "predicted", "passages"])
 
     rows = docs.select(packed(docs, *(keep or docs.columns)).alias("pack"), field(text).cast("string").alias("words"))
-    kind = rows.schema["pack"].dataType.simpleString()
-    return rows.mapInArrow(run, f"pack {kind}, {_VERDICT}")
+    schema = StructType([rows.schema["pack"], *StructType.fromDDL(_VERDICT).fields])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
