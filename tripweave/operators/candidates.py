@@ -14,6 +14,8 @@ from ..functions import geo
 from . import spatial
 
 CELL = 0.025
+#: Categories a hub's mask can hold; an index beyond it is an error, not a loss.
+MASK_BITS = 63
 ROUTE_FIELDS = ("o_lat", "o_lon", "d_lat", "d_lon")
 
 
@@ -29,7 +31,8 @@ def category_closure(categories: DataFrame) -> DataFrame:
     while True:
         rows = rows.join(parents, rows.slug == parents.parent_slug).select(
             "ancestor", F.col("child_slug").alias("slug"), F.col("child").alias("category")
-        )
+        ).distinct()
+        rows = rows.join(found.select("ancestor", "category"), ["ancestor", "category"], "left_anti")  # a cycle ends here
         if rows.isEmpty():
             return found.select("ancestor", "category")
         found = found.unionByName(rows)
@@ -38,7 +41,8 @@ def category_closure(categories: DataFrame) -> DataFrame:
 def hub_facts(hubs: DataFrame, outlets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Open hubs with the mask of categories their open outlets serve and their nearest node."""
     open_outlets = outlets.filter("closure_status <> 'closed'").groupBy("hub_id").agg(
-        F.expr("bit_or(shiftleft(1L, cast(category_idx as int)))").alias("mask")
+        F.expr(f"bit_or(CASE WHEN category_idx BETWEEN 0 AND {MASK_BITS - 1} THEN shiftleft(1L, cast(category_idx as int)) "
+               f"ELSE raise_error('category index beyond the mask') END)").alias("mask")
     )
     near = spatial.nearest(hubs, nodes.select("node_id", "lat", "lon"), "node_id")
     return (
@@ -51,7 +55,7 @@ def hub_facts(hubs: DataFrame, outlets: DataFrame, nodes: DataFrame) -> DataFram
 
 def hub_category_rows(facts: DataFrame) -> DataFrame:
     """One row per hub and own category."""
-    bits = F.filter(F.sequence(F.lit(0), F.lit(29)), lambda c: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), c)) != 0)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(MASK_BITS - 1)), lambda c: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), c)) != 0)
     return facts.select(
         "hub_id", "lat", "lon", geo.unit_vector("lat", "lon").alias("unit"), "kind", "node_m", "mask", F.explode(bits).alias("category")
     )
@@ -383,12 +387,13 @@ def stop_cost() -> Column:
     return 2 * F.col("line_km") + F.coalesce(F.col("node_m") / 1000, F.lit(0.0))
 
 
-def options(rows: DataFrame) -> DataFrame:
+def options(rows: DataFrame, cut: bool = False) -> DataFrame:
     """Single stops, consolidated stops and unordered pairs of a shortlist.
 
     ``rows`` must carry sat1/sat2. A pair is built once, with the assignment met first.
     A full-coverage hub that satisfies the request alone beats every pair it is part of,
-    so only the six best of those enter pairs; nothing that could be chosen is lost.
+    so a planner that keeps the best may ask for the ``cut``: only the six best of those
+    enter pairs, and nothing that could be chosen is lost.
     """
     two = F.col("c2").isNotNull()
     head = ["sid", "trip_id", "search_no", "c1", "c2", "brand1", "brand2", "match_class", "max_candidates", *ROUTE_FIELDS, "base_km"]
@@ -408,8 +413,9 @@ def options(rows: DataFrame) -> DataFrame:
         .withColumn("lone", lone)
         .withColumn("cheap", F.row_number().over(by_cost))
         .withColumn("place", F.row_number().over(by_rank))
-        .filter(~F.col("lone") | (F.col("cheap") <= params.MAX_CANDIDATES))
     )
+    if cut:
+        members = members.filter(~F.col("lone") | (F.col("cheap") <= params.MAX_CANDIDATES))
     side = ["hub_id", "lat", "lon", "from_o", "to_d", "has1", "has2", "place"]
 
     def named(prefix: str, frame: DataFrame, keep: list[str]) -> DataFrame:

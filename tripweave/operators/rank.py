@@ -60,7 +60,7 @@ def indistinguishable(a: Column, b: Column) -> Column:
 
 
 def distinct_winners(winners: DataFrame) -> DataFrame:
-    """Winners that repeat, or cannot be told from, a kept one are dropped. Long form."""
+    """Winners that repeat, or cannot be told from, a kept one are dropped; slots count the kept. Long form."""
     best, fast, calm = F.col("best_overall"), F.col("fastest"), F.col("least_walking")
     drop_fast = same_signature(fast, best) | indistinguishable(fast, best)
     drop_calm = same_signature(calm, best) | indistinguishable(calm, best) | (
@@ -68,12 +68,13 @@ def distinct_winners(winners: DataFrame) -> DataFrame:
     )
     kept = F.array_compact(
         F.array(
-            F.struct(F.lit("best_overall").alias("result"), F.lit(1).alias("slot"), best.alias("o")),
-            F.when(~drop_fast, F.struct(F.lit("fastest").alias("result"), F.lit(2).alias("slot"), fast.alias("o"))),
-            F.when(~drop_calm, F.struct(F.lit("least_walking").alias("result"), F.lit(3).alias("slot"), calm.alias("o"))),
+            F.struct(F.lit("best_overall").alias("result"), best.alias("o")),
+            F.when(~drop_fast, F.struct(F.lit("fastest").alias("result"), fast.alias("o"))),
+            F.when(~drop_calm, F.struct(F.lit("least_walking").alias("result"), calm.alias("o"))),
         )
     )
-    return winners.select("trip_id", F.explode(kept).alias("k")).select("trip_id", "k.result", "k.slot", "k.o.*")
+    listed = winners.select("trip_id", F.posexplode(kept).alias("place", "k"))
+    return listed.select("trip_id", "k.result", (F.col("place") + 1).alias("slot"), "k.o.*")
 
 
 def stop_key(first: str = "first_stop", second: str = "second_stop") -> Column:

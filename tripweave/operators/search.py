@@ -263,16 +263,19 @@ def place_category(value: str) -> Column:
 
 def grounded(leads: DataFrame, hubs: DataFrame) -> DataFrame:
     """Catalog places named in a text, unless its location hint disagrees with their address."""
+    places = hubs.filter("closure_status <> 'closed'").select("hub_id", text.normalize("name").alias("name_key"), text.normalize(F.coalesce("address", F.lit(""))).alias("where")).filter("name_key <> ''")
+    size = F.size(F.split("name_key", " "))
+    bounds = places.agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
+    low, high = bounds["low"] or 1, bounds["high"] or 1
     words = F.split(text.normalize("text"), " ")
     n = F.size(words)
     spans = F.flatten(
         F.transform(
             F.sequence(F.lit(1), n),
-            lambda i: F.transform(F.sequence(F.lit(2), F.lit(4)), lambda k: F.when(i + k - 1 <= n, F.array_join(F.slice(words, i, k), " "))),
+            lambda i: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: F.when(i + k - 1 <= n, F.array_join(F.slice(words, i, k), " "))),
         )
     )
     rows = leads.withColumn("name_key", F.explode(F.array_distinct(F.array_compact(spans))))
-    places = hubs.filter("closure_status <> 'closed'").select("hub_id", text.normalize("name").alias("name_key"), text.normalize(F.coalesce("address", F.lit(""))).alias("where"))
     hint = text.normalize(F.regexp_extract("text", r"\bat ([A-Z][A-Za-z]+(?: [A-Z][a-z]+)?)", 1))
     return rows.join(places, "name_key").withColumn("hint", hint).filter((F.col("hint") == "") | text.contains_phrase("where", "hint"))
 

@@ -151,7 +151,7 @@ class TripPlan:
         return self._once("shortlist", build, keep=True)
 
     def pruned_first(self):
-        return self._once("pruned_first", lambda: candidates.prune(candidates.options(self.shortlist())), keep=True)
+        return self._once("pruned_first", lambda: candidates.prune(candidates.options(self.shortlist(), cut=True)), keep=True)
 
     def exact_shortlist(self):
         def build():
@@ -170,7 +170,7 @@ class TripPlan:
         return self._once(
             "pruned",
             lambda: candidates.relationship(
-                self.pruned_first().unionByName(candidates.prune(candidates.options(self.exact_shortlist()))), self.areas()
+                self.pruned_first().unionByName(candidates.prune(candidates.options(self.exact_shortlist(), cut=True))), self.areas()
             ),
             keep=True,
         )

@@ -14,9 +14,9 @@ BINDINGS["b_query"] = "SELECT DISTINCT p_name AS q FROM part UNION SELECT DISTIN
 BINDINGS["b_code"] = "SELECT DISTINCT LPAD(CAST((c_custkey * 37) % 820000 + 10000 AS STRING), 6, '0') AS code FROM customer"
 BINDINGS["b_location"] = """SELECT DISTINCT CASE c_custkey % 7 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' mrt' WHEN 2 THEN 'L' || CAST(n_regionkey AS STRING) || CAST(1 + c_custkey % 5 AS STRING)
  WHEN 3 THEN replace(n_name, 'TION', 'TON') || ' station' WHEN 4 THEN replace(n_name, 'NAT', 'NTA') WHEN 5 THEN c_name ELSE p_name || ' ' || CAST(p_partkey % 97 AS STRING) END AS q
- FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN part ON p_partkey = c_custkey % 200"""
+ FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN part ON p_partkey = CAST(FLOOR(c_custkey * 4e0 / 3e0) AS BIGINT)"""
 BINDINGS["b_lead"] = """SELECT o_orderkey AS lead_id, 'Try ' || p_name || ' ' || CAST(p_partkey % 97 AS STRING) || ' today at ' || CASE o_orderkey % 3 WHEN 0 THEN 'Copper Road' ELSE p_type || ' Road' END || ', friends' AS text
- FROM orders JOIN part ON p_partkey = o_orderkey % 200"""
+ FROM orders JOIN part ON p_partkey = CAST(FLOOR(o_orderkey * 2e0 / 15e0) AS BIGINT)"""
 
 
 def entries(g):
@@ -173,10 +173,10 @@ def _(g):
 
 
 @query("join_exact_place", f"""SELECT p.sid, p.stop1, p.stop2, EXISTS (SELECT 1 FROM x_open_outlet o JOIN b_hub h ON h.hub_id=o.hub_id WHERE o.brand_idx IS NULL AND o.category_idx=p.c1 AND h.hub_id=CASE WHEN p.n_stops=1 OR p.first_low THEN p.stop1 ELSE p.stop2 END AND {_norm('h.name')}={_norm('w.name')}) AS met
- FROM x_pruned p JOIN b_hub w ON w.hub_id=(p.trip_id * 7) % 200""")
+ FROM x_pruned p JOIN b_hub w ON w.hub_id=CAST(FLOOR(p.trip_id * 2e0 / 15e0) AS BIGINT)""")
 def _(g):
     options = plan(g).pruned()
-    wants = g.trip.select("trip_id", ((F.col("trip_id") * 7) % 200).alias("hub_id")).join(g.hub.select("hub_id", text.normalize("name").alias("place")), "hub_id").drop("hub_id")
+    wants = g.trip.select("trip_id", F.floor(F.col("trip_id") * 2.0 / 15.0).cast("long").alias("hub_id")).join(g.hub.select("hub_id", text.normalize("name").alias("place")), "hub_id").drop("hub_id")
     offers = g.outlet.filter("closure_status <> 'closed' AND brand_idx IS NULL").join(g.hub.select("hub_id", text.normalize("name").alias("place")), "hub_id").select(
         F.col("hub_id").alias("at"), F.col("category_idx").alias("c1"), "place", F.lit(True).alias("met")
     ).distinct()

@@ -16,10 +16,10 @@ RAW_STOP = """SELECT CASE WHEN l_orderkey % 53 = 0 THEN 'X' || CAST(l_suppkey AS
  '103.' || LPAD(CAST(6200 + (l_suppkey * 3571) % 3800 AS STRING), 4, '0') AS longitude,
  l_orderkey * 10 + l_linenumber AS capture_seq FROM lineitem"""
 BINDINGS["b_raw_stop"] = RAW_STOP
-# A visit per line item whose place exists: arrival is the ship date plus some minutes.
+# A visit per line item: arrival is the ship date plus some minutes.
 BINDINGS["b_visit"] = """SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_linenumber AS visit_id,
- l_partkey * 100000 + l_suppkey AS outlet_id, l_shipdate AS ship_day, (l_orderkey * 7 + l_linenumber * 131) % 1440 AS minute_of_day
- FROM lineitem WHERE (l_partkey + l_suppkey) % 16 = 0"""
+ l_partkey * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS outlet_id, l_shipdate AS ship_day, (l_orderkey * 7 + l_linenumber * 131) % 1440 AS minute_of_day
+ FROM lineitem"""
 
 CLOCK = """CASE WHEN regexp_matches(trim({c}), '^([01][0-9]|2[0-3])[0-5][0-9]$') OR trim({c}) = '2400' THEN trim({c}) END"""
 _clocks = ", ".join(f"{CLOCK.format(c=old)} AS {new}" for old, new in timetable.CLOCK_FIELDS.items())

@@ -416,7 +416,8 @@ SHOWN = "trip_id, result, slot, first_stop, second_stop, label, match_class, sco
 define(
     x_keep2=f"SELECT f.* FROM x_w2 f JOIN x_w1 b ON b.trip_id=f.trip_id WHERE NOT {_same('f','b')}",
     x_keep3=f"""SELECT f.* FROM x_w3 f JOIN x_w1 b ON b.trip_id=f.trip_id LEFT JOIN x_keep2 k ON k.trip_id=f.trip_id WHERE NOT {_same('f','b')} AND NOT COALESCE({_same('f','k')}, FALSE)""",
-    x_winner=f"SELECT {SHOWN} FROM x_w1 UNION ALL SELECT {SHOWN} FROM x_keep2 UNION ALL SELECT {SHOWN} FROM x_keep3",
+    x_kept=f"SELECT {SHOWN} FROM x_w1 UNION ALL SELECT {SHOWN} FROM x_keep2 UNION ALL SELECT {SHOWN} FROM x_keep3",
+    x_winner=f"SELECT {SHOWN.replace(' slot,', ' ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY slot) AS slot,')} FROM x_kept",
     x_fill_list="""SELECT s.trip_id, CASE WHEN s.label='easier_alternative' THEN s.label ELSE 'partial_' || c.slug END AS result, CAST(first_stop AS VARCHAR) || COALESCE('>' || CAST(second_stop AS VARCHAR),'') AS shown, sid, stop1, stop2, order_no,
  ROW_NUMBER() OVER (PARTITION BY s.trip_id ORDER BY score, added_minutes, search_no, position, order_no) AS i FROM x_scored s JOIN b_category c ON c.category_idx=s.c1 WHERE match_class<>'best_match'""",
     x_held="""SELECT trip_id, list(CAST(first_stop AS VARCHAR) || COALESCE('>' || CAST(second_stop AS VARCHAR),'')) AS held, CAST(COUNT(*) AS INTEGER) AS n FROM x_winner GROUP BY trip_id""",

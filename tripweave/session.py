@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,8 +42,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and versioned tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a local folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``. Only on a single machine (tests, a
+    laptop) a local folder stands in; a cluster without a shared folder is an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -50,6 +51,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = context.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-tripweave-")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir() or configured

@@ -44,15 +44,15 @@ SELECT p_partkey AS hub_id,
 FROM part
 """,
     "b_outlet": """
-SELECT DISTINCT l_partkey * 100000 + l_suppkey AS outlet_id, l_partkey AS hub_id,
-       (l_suppkey * 31 + l_partkey * 7) % 27 AS category_idx,
-       CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey % 21 END AS brand_idx,
-       CASE WHEN l_suppkey % 20 = 7 THEN 'closed' ELSE 'unknown' END AS closure_status,
-       CASE (l_partkey + l_suppkey) % 7 WHEN 0 THEN '24/7' WHEN 1 THEN 'Mo-Fr 09:00-22:00'
+SELECT l_partkey * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS outlet_id, l_partkey AS hub_id,
+       (MIN(l_suppkey) * 31 + l_partkey * 7) % 27 AS category_idx,
+       CASE WHEN MIN(l_suppkey) % 3 = 0 THEN MIN(l_suppkey) % 21 END AS brand_idx,
+       CASE WHEN MIN(l_suppkey) % 20 = 7 THEN 'closed' ELSE 'unknown' END AS closure_status,
+       CASE (l_partkey + MIN(l_suppkey)) % 7 WHEN 0 THEN '24/7' WHEN 1 THEN 'Mo-Fr 09:00-22:00'
             WHEN 2 THEN 'Mo-Sa 08:00-20:00; Su off' WHEN 3 THEN '22:00-02:00'
             WHEN 4 THEN 'PH off' WHEN 5 THEN '09:00-22:00; Su off' END AS opening_hours
 FROM lineitem
-WHERE (l_partkey + l_suppkey) % 16 = 0
+GROUP BY l_partkey, l_returnflag
 """,
     "b_station": """
 SELECT n_nationkey AS station_id, 'L' || CAST(n_regionkey AS STRING) AS line,
@@ -95,7 +95,7 @@ SELECT o_orderkey AS request_id,
             WHEN 3 THEN 'coffee if convenient and ' || p_name || ', do not want to walk much'
             WHEN 4 THEN 'bubble tea then pharmacy, no extra transfer, go home to ' || n_name
             ELSE 'hello' END AS text
-FROM orders JOIN part ON p_partkey = o_orderkey % 200 JOIN nation ON n_nationkey = o_orderkey % 25
+FROM orders JOIN part ON p_partkey = CAST(FLOOR(o_orderkey * 2e0 / 15e0) AS BIGINT) JOIN nation ON n_nationkey = o_orderkey % 25
 """,
     "b_event": """
 SELECT event_id, ts AS occurred_at, user_id, user_id * 20 + event_id % 20 AS search_id,
