@@ -35,11 +35,15 @@ LABELLED_ROWS = 20_000
 #: Stems: leading letters of a longer word.
 STEMS = (4, 5, 6)
 
-#: Pseudo-documents that the Dirichlet prior adds to a class, shared out by overall frequency.
-PRIOR = 20.0
+#: Pseudo-documents that the Dirichlet prior adds to a class, as a share of all fitted ones; they
+#: are dealt out by overall frequency.
+PRIOR = 0.025
 
 #: Standard errors taken off a log-odds, and what a token without evidence costs.
-ERRORS, COST = 3.0, 0.25
+ERRORS, COST = 2.0, 0.25
+
+#: A term counts if its log-odds exceeds its error by this much; weaker ones only add noise.
+LEAST = 2.5
 
 #: Expected chance rivals below which a segment is reported as a passage.
 SIGNIFICANT = 0.05
@@ -178,10 +182,11 @@ def term_scores(rows: DataFrame) -> dict[str, float]:
     if not t or not c:
         return {}
     counted = rows.mapInArrow(_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("y"), F.sum("clean").alias("z"))
-    prior = F.lit(PRIOR) * (F.col("y") + F.col("z")) / F.lit(t + c)
+    added = PRIOR * (t + c)
+    prior = F.lit(PRIOR) * (F.col("y") + F.col("z"))
     y, z = F.col("y") + prior, F.col("z") + prior
-    odds = F.log(y / (F.lit(t + PRIOR) - y)) - F.log(z / (F.lit(c + PRIOR) - z))
-    kept = counted.where(F.col("y") >= 2).select("term", (odds - F.lit(ERRORS) * F.sqrt(1 / y + 1 / z)).alias("score")).where("score > 0")
+    odds = F.log(y / (F.lit(t + added) - y)) - F.log(z / (F.lit(c + added) - z))
+    kept = counted.where(F.col("y") >= 2).select("term", (odds - F.lit(ERRORS) * F.sqrt(1 / y + 1 / z)).alias("score")).where(F.col("score") >= LEAST)
     return {r["term"]: r["score"] for r in kept.collect()}
 
 
