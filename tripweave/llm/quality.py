@@ -6,8 +6,8 @@ are a binomial count, and its exact lower tail at the tolerated risk is the p-va
 cutoff rejects too many good texts". The first cutoff that fails ends the sequence, so trying
 many costs no confidence; over strata and rules the level is divided (Bonferroni). With
 confidence ``1 - LEVEL`` no stratum then loses more than ``RULES * RISK`` of its good texts.
-Of the certified cutoffs the most lenient one that catches nearly as many bad texts as any is
-taken. A stratum with too few labels certifies nothing and keeps its texts.
+Of the certified cutoffs the one that catches most bad texts, less a price for each good one, is
+taken, the more lenient of equals. A stratum with too few labels certifies nothing and keeps its texts.
 
 Everything is DataFrame functions; a text's measures are written once and labels meet numbers.
 """
@@ -24,8 +24,8 @@ from .common import field, packed, store
 #: Tolerated share of good texts a single rule may reject, and the chance that any rule exceeds it.
 RISK, LEVEL = 0.01, 0.1
 
-#: A more lenient cutoff is preferred if it catches this share of what the best one does.
-NEARLY = 0.98
+#: Bad texts that must be caught for every good text rejected.
+PRICE = 5
 
 #: Measure of each rule over the base columns, and its cutoffs from lenient to strict.
 RULES = {
@@ -149,9 +149,8 @@ def certify(measured: DataFrame, labels: DataFrame, doc_id: Column, risk: float
     keys = ["stratum", "rule"]
     upto = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     valid = tested.withColumn("valid", F.min("passed").over(upto)).where("valid")
-    best = valid.withColumn("most", F.max("n_caught").over(Window.partitionBy(*keys)))
-    enough = best.where((F.col("n_caught") > 0) & (F.col("n_caught") >= NEARLY * F.col("most")))
-    first = enough.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("step"))).where("rank = 1")
+    gain = valid.withColumn("gain", F.col("n_caught") - PRICE * F.col("n_false")).where("gain > 0")
+    first = gain.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("gain").desc(), "step"))).where("rank = 1")
     return first.select("stratum", "rule", "cutoff", "n_good", "n_false", "n_caught")
 
 
