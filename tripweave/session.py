@@ -69,13 +69,13 @@ def spread(frame, *keys: str):
     return frame.repartition(wanted, *keys)
 
 
-def store(frame, name: str = "stage"):
-    """A stage written once to the shared folder and read back.
+def store(frame, name: str = "stage", **options: str):
+    """A stage written once to the shared folder (with the writer's options) and read back.
 
     It cuts the lineage like a checkpoint, and the reader knows the table's real size, so
     a small stage is broadcast and a large one is not. A lost executor costs a re-read.
     """
     spark = frame.sparkSession
     path = f"{checkpoint_root(spark)}/stages/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
