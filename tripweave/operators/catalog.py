@@ -222,13 +222,16 @@ TIERS = ("weak", "supported", "strong", "verified")
 
 
 def merge_places(places: DataFrame, km: float = params.PLACE_DEDUPE_KM) -> DataFrame:
-    """Merge places of equal compact name or address within ``km`` into the earliest kept one.
+    """Merge places of one search and equal compact name or address within ``km`` into the earliest kept one.
 
-    places: id, name, address, lat, lon, provenance (array), tier (0-3), relevance.
+    places: search, id, name, address, lat, lon, provenance (array), tier (0-3), relevance.
     """
-    rows = store(places.withColumn("name_key", text.compact("name")).withColumn("address_key", text.compact("address")), "places")
-    by_name = close_pairs(rows.filter("name_key <> ''"), "name_key", km)
-    by_address = close_pairs(rows.filter("address_key <> ''"), "address_key", km)
+    def key(value: str) -> Column:
+        return F.when(text.compact(value) != "", F.concat_ws("\u0001", "search", text.compact(value)))
+
+    rows = store(places.withColumn("name_key", key("name")).withColumn("address_key", key("address")), "places")
+    by_name = close_pairs(rows.filter("name_key IS NOT NULL"), "name_key", km)
+    by_address = close_pairs(rows.filter("address_key IS NOT NULL"), "address_key", km)
     pairs = store(by_name.unionByName(by_address).distinct(), "place_pairs")
     kept = store(greedy_keep(rows, pairs), "kept")
     home = pairs.join(kept.withColumnRenamed("id", "earlier"), "earlier", "left_semi").join(

@@ -102,16 +102,19 @@ def _(g):
 
 
 def _first(patterns, group):
-    return "COALESCE(" + ", ".join(f"CASE WHEN regexp_extract(text,'{p.replace(chr(39), chr(39) * 2)}',1)<>'' THEN regexp_extract(text,'{p.replace(chr(39), chr(39) * 2)}',{group}) END" for p in patterns) + ")"
+    return "COALESCE(" + ", ".join(f"CASE WHEN regexp_extract(text,'{p.replace(chr(39), chr(39) * 2)}',2)<>'' THEN regexp_extract(text,'{p.replace(chr(39), chr(39) * 2)}',{group}) END" for p in patterns) + ")"
 
 
-@query("text_journey_refs", f"""SELECT text, NULLIF(trim({_first(rq.ORIGIN_PATTERNS, 1)},' .,!?'),'') AS origin, NULLIF(trim({_first(rq.DESTINATION_PATTERNS, 1)},' .,!?'),'') AS destination,
- trim(regexp_replace(CASE WHEN {_first(rq.DESTINATION_PATTERNS, 0)} IS NOT NULL THEN replace(text, {_first(rq.DESTINATION_PATTERNS, 0)}, ' ') ELSE text END,'\\s+',' ','g'),' ,.;') AS errand_text FROM x_text""")
+_ORIGIN_SPAN, _DESTINATION_SPAN = _first(rq.ORIGIN_PATTERNS, 1), _first(rq.DESTINATION_PATTERNS, 1)
+
+
+@query("text_journey_refs", f"""SELECT text, NULLIF(trim({_first(rq.ORIGIN_PATTERNS, 2)},' .,!?'),'') AS origin, NULLIF(trim({_first(rq.DESTINATION_PATTERNS, 2)},' .,!?'),'') AS destination,
+ trim(regexp_replace(COALESCE(replace(COALESCE(replace(text, {_DESTINATION_SPAN}, ' '), text), {_ORIGIN_SPAN}, ' '), COALESCE(replace(text, {_DESTINATION_SPAN}, ' '), text)),'\\s+',' ','g'),' ,.;') AS errand_text FROM x_text""")
 def _(g):
     return rq.journey_references(texts(g)).select("text", "origin", "destination", "errand_text")
 
 
-define(x_mention=f"SELECT text, NULLIF(trim({_first(rq.DESTINATION_PATTERNS, 1)},' .,!?'),'') AS q FROM x_text")
+define(x_mention=f"SELECT text, NULLIF(trim({_first(rq.DESTINATION_PATTERNS, 2)},' .,!?'),'') AS q FROM x_text")
 
 
 @query("join_journey_conflict", f"""SELECT r.request_id, m.q AS mentioned, s.station_id, s.station_id IS NULL OR {H('s.lat','s.lon','t.d_lat','t.d_lon')}>0.5 AS conflict FROM b_request r JOIN x_mention m ON m.text=r.text AND m.q IS NOT NULL JOIN b_trip t ON t.trip_id=r.request_id

@@ -185,10 +185,10 @@ def _(g):
 
 
 def found_places(g):
-    """Discovered places: every phrase hit seen as one source's answer."""
+    """Discovered places: every phrase is a search, its hits one source's answers."""
     hits = search.phrase_hits(phrases(g), documents(g), search.postings(documents(g)))
     return hits.select(
-        F.concat("phrase", F.lit("#"), F.lpad(F.col("outlet_id").cast("string"), 14, "0")).alias("id"), F.col("label").alias("name"), "address", "lat", "lon",
+        F.col("phrase").alias("search"), F.concat("phrase", F.lit("#"), F.lpad(F.col("outlet_id").cast("string"), 14, "0")).alias("id"), F.col("label").alias("name"), "address", "lat", "lon",
         F.array("source").alias("provenance"), F.when(F.col("brand_idx").isNotNull(), 2).otherwise(1).alias("tier"), F.when(F.col("brand_idx").isNotNull(), 1.0).otherwise(0.7).alias("relevance"),
     )
 
