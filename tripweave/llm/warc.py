@@ -137,7 +137,7 @@ def decide(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     """``(page_id, url, payload, row, kind, to_page, to_row)``: what each row becomes in the archive."""
     payload = F.encode(F.coalesce(field(html).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(field(page_id).cast("long").alias("page_id"), field(url).cast("string").alias("url"), payload.alias("payload"))
-    rows = store(rows.withColumn("digest", F.sha1("payload")).withColumn("row", F.monotonically_increasing_id()), "payloads")
+    rows = store(rows.withColumn("digest", F.sha1("payload")).withColumn("row", F.monotonically_increasing_id()), "payloads", compression="zstd")
     best = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best"))
     joined = rows.join(best, "digest", "left")
     revisit = F.coalesce(F.col("best.row") != F.col("row"), F.lit(False))
