@@ -42,8 +42,9 @@ PRIOR = 0.025
 #: Standard errors taken off a log-odds, and what a token without evidence costs.
 ERRORS, COST = 2.0, 0.25
 
-#: A term counts if its log-odds exceeds its error by this much; weaker ones only add noise.
-LEAST = 2.5
+#: A term counts if its log-odds is at least this much and exceeds its error by this much, and if it
+#: occurs in this share of the toxic texts; rarer ones are mostly words that a few near copies share.
+LEAST_ODDS, LEAST, LEAST_SHARE = 3.0, 0.5, 0.01
 
 #: Expected chance rivals below which a segment is reported as a passage.
 SIGNIFICANT = 0.05
@@ -186,7 +187,7 @@ def term_scores(rows: DataFrame) -> dict[str, float]:
     prior = F.lit(PRIOR) * (F.col("y") + F.col("z"))
     y, z = F.col("y") + prior, F.col("z") + prior
     odds = F.log(y / (F.lit(t + added) - y)) - F.log(z / (F.lit(c + added) - z))
-    kept = counted.where(F.col("y") >= 2).select("term", (odds - F.lit(ERRORS) * F.sqrt(1 / y + 1 / z)).alias("score")).where(F.col("score") >= LEAST)
+    kept = counted.where(F.col("y") >= max(2.0, LEAST_SHARE * t)).where(odds >= LEAST_ODDS).select("term", (odds - F.lit(ERRORS) * F.sqrt(1 / y + 1 / z)).alias("score")).where(F.col("score") >= LEAST)
     return {r["term"]: r["score"] for r in kept.collect()}
 
 
