@@ -27,6 +27,9 @@ RISK, LEVEL = 0.01, 0.1
 #: Bad texts that must be caught for every good text rejected.
 PRICE = 5
 
+#: Strata whose cutoffs are broadcast to the rows, a few numbers each.
+BROADCAST_STRATA = 10_000
+
 #: Measure of each rule over the base columns, and its cutoffs from lenient to strict.
 RULES = {
     "symbols": ("n_symbols / n_words", (3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1)),
@@ -158,6 +161,9 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """``base_failed`` and ``kept`` added to measured rows."""
     fields = [F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]
     wide = cutoffs.groupBy(F.col("stratum").alias("of")).agg(*fields)
+    wide = store(wide, "cutoffs")
+    if wide.count() <= BROADCAST_STRATA:  # else a join that may shuffle the rows by stratum
+        wide = F.broadcast(wide)
     rows = measured.join(wide, F.col("stratum").eqNullSafe(F.col("of")), "left")
     over = F.lit(False)
     for rule in RULES:
@@ -172,5 +178,5 @@ def assess(docs: DataFrame, labels: DataFrame, keep: list[str], doc_id: str = "d
     Repeated rows come out as often as they came in. Without labels nothing beyond the base
     rules is rejected. Kept columns may have any names.
     """
-    measured = store(measure(docs, keep, text, stratum), "measures")
+    measured = store(measure(docs, keep, text, stratum), "measures", compression="zstd")
     return judge(measured, certify(measured, labels, F.col("pack").getField(doc_id), risk, level))
