@@ -50,7 +50,7 @@ LEAST_ODDS, LEAST, LEAST_SHARE = 3.0, 0.5, 0.01
 SIGNIFICANT = 0.05
 
 #: Scores of tokens kept per worker before the memo starts anew.
-MEMO = 500_000
+MEMO = 200_000
 
 _WORD = re.compile(r"\w+")
 
