@@ -221,6 +221,18 @@ def test_toxicity_learns_and_never_reads_held_out_labels(spark):
     assert toxicity.fit(docs, turned, ~toxicity.held_out(F.col("doc_id"))) == model
 
 
+@pytest.mark.parametrize("rivals, n", [(15, 100), (10, 60), (40, 120), (300, 330), (5, 3), (0.2, 1), (60, 20)])
+def test_evidence_counts_every_segment(rivals, n):
+    """The Poisson tail over all segments, however many there are and are expected."""
+    import math
+
+    length, rate, scale = 5000, 0.7, 0.3
+    score = math.log(scale * length / rivals) / rate
+    log_tail = lambda r: math.log(math.fsum(math.exp(k * math.log(rivals) - rivals - math.lgamma(k + 1)) for k in range(r, r + 2000)))
+    want = max(-log_tail(r) for r in range(1, n + 1))
+    assert toxicity.evidence([(0, 0, score)] * n, length, rate, scale) == pytest.approx(min(want, 200), rel=1e-9, abs=1e-12)
+
+
 # --- 4: quality -----------------------------------------------------------------
 
 

@@ -122,20 +122,38 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def evidence(found: list[tuple[int, int, float]], length: int, rate: float, scale: float) -> float:
-    """Minus log of the smallest Poisson tail over the r best segments of a text."""
-    best, worst = sorted((s for _, _, s in found), reverse=True)[:20], 0.0
-    for r, score in enumerate(best, 1):
-        rivals = scale * max(length, 1) * math.exp(-rate * score)
-        if rivals >= 30:
-            break
-        term, tail = math.exp(-rivals) * rivals**r / math.factorial(r), 0.0
-        for k in range(r, r + 40):
-            tail += term
-            term *= rivals / (k + 1)
-        worst = max(worst, -math.log(max(tail, 1e-300)))
+    """Minus log of the smallest Poisson tail over the r best segments of a text, for every r."""
+    if not found:
+        return 0.0
+    best = np.sort(np.array([s for _, _, s in found]))[::-1]
+    r = np.arange(1.0, len(best) + 1)
+    logs = math.log(scale * max(length, 1)) - rate * best
+    rivals = np.exp(logs)
+    # A tail is no less than its first term and no more than Chernoff's bound; only what can be the
+    # smallest is summed.
+    first = rivals - r * logs + np.cumsum(np.log(r))
+    bound = np.where(r > rivals, r * (np.log(r) - logs) - r + rivals, 0.0)
+    left = np.flatnonzero(first >= bound.max() - 1e-9)
+    worst, terms = 0.0, 50 + int(9 * math.sqrt(rivals[left].max()))
+    for at in range(0, len(left), max(1, (1 << 20) // terms)):
+        part = left[at : at + max(1, (1 << 20) // terms)]
+        worst = max(worst, float(_tails(r[part], rivals[part], first[part], terms).max()))
     return min(worst, 200.0)
 
 
+def _tails(r: np.ndarray, rivals: np.ndarray, first: np.ndarray, terms: int) -> np.ndarray:
+    """Minus log of the chance of r or more at so many expected, ``first`` being that of r alone."""
+    step, out = np.arange(1.0, terms + 1), np.zeros(len(r))
+    above = r > rivals
+    ratios = rivals[above, None] / (r[above, None] + step)
+    out[above] = first[above] - np.log1p(np.cumprod(ratios, axis=1).sum(axis=1))
+    # where r or more is the likelier side, the other one is summed
+    r, rivals, first = r[~above], rivals[~above], first[~above]
+    ratios = np.maximum(r[:, None] - step + 1, 0) / rivals[:, None]
+    out[~above] = -np.log1p(-np.exp(-first) * np.cumprod(ratios, axis=1).sum(axis=1))
+    return out
+
+
 def probability(value: float, model: Model) -> float:
     return 1.0 / (1.0 + math.exp(-min(50.0, max(-50.0, model.slope * value + model.offset))))
 
@@ -205,20 +223,29 @@ def karlin_rate(values: np.ndarray, counts: np.ndarray) -> float:
 
 
 def _summaries(model: Model):
-    """Per text: best segment, length, evidence inputs and the clean score histogram."""
+    """Per text: class, length and the scores of all its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.memo()
         for batch in batches:
-            best, length, tops, toxic = [], [], [], batch.column(1)
+            length, sums, toxic = [], [], batch.column(1)
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 found = segments(np.fromiter(map(memo.__getitem__, words), dtype=np.float64, count=len(words)))
-                ranked = sorted((s for _, _, s in found), reverse=True)[:20]
-                best.append(ranked[0] if ranked else 0.0)
                 length.append(len(words))
-                tops.append(ranked)
-            yield pa.RecordBatch.from_arrays([toxic, pa.array(length, pa.int64()), pa.array(tops, pa.list_(pa.float64()))], ["toxic", "length", "tops"])
+                sums.append([s for _, _, s in found])
+            yield pa.RecordBatch.from_arrays([toxic, pa.array(length, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], ["toxic", "length", "sums"])
+
+    return run
+
+
+def _evidences(rate: float, scale: float):
+    """Per text: class and evidence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [evidence([(0, 0, s) for s in sums], n, rate, scale) for n, sums in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["toxic", "evidence"])
 
     return run
 
@@ -259,11 +286,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LABELLE
     histogram = rows.where("toxic = 0").mapInArrow(_histogram(model), "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
     values, counts = np.array([r["value"] for r in histogram]), np.array([float(r["n"]) for r in histogram])
     model.rate = karlin_rate(values, counts)
-    seen = rows.select("text", "toxic").mapInArrow(_summaries(model), "toxic int, length long, tops array<double>").collect()
-    clean = [r for r in seen if not r["toxic"]]
+    seen = store(rows.select("text", "toxic").mapInArrow(_summaries(model), "toxic int, length long, sums array<double>"), "segments")
+    clean = seen.where("toxic = 0").select("length", F.coalesce(F.array_max("sums"), F.lit(0.0)).alias("best")).collect()
     # Maximum likelihood for the scale of the extreme-value law, one pseudo-text of no score added.
-    model.scale = (len(clean) + 1) / (1 + sum(r["length"] * math.exp(-model.rate * (r["tops"][0] if r["tops"] else 0.0)) for r in clean))
-    x = np.array([evidence([(0, 0, s) for s in r["tops"]], r["length"], model.rate, model.scale) for r in seen])
+    model.scale = (len(clean) + 1) / (1 + math.fsum(r["length"] * math.exp(-model.rate * r["best"]) for r in clean))
+    seen = seen.mapInArrow(_evidences(model.rate, model.scale), "toxic int, evidence double").orderBy("evidence", "toxic").collect()
+    x = np.array([r["evidence"] for r in seen])
     y = np.array([float(r["toxic"] > 0) for r in seen])
     model.slope, model.offset = logistic(x, y)
     return model
