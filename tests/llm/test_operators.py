@@ -587,3 +587,17 @@ def test_graph_recall():
         rows, hits, _ = hnsw.lookup(graph, x, x, own)
         assert truth[rows, hits].all()
         assert len(set(zip(rows.tolist(), hits.tolist()))) >= 0.99 * truth.sum()
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_audit_counts_real_links_only(own):
+    """A graph that finds only the start points does not pass for a few links, or for none."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32))
+    x[1::300] = x[0::300] + rng.normal(size=(10, 32)) * 0.01
+    x = hnsw._unit(x)
+    graph = hnsw.Graph(x)
+    graph.layers[0][:] = -1
+    queries = x if own else hnsw._unit(np.where(np.arange(3000)[:, None] % 300, rng.normal(size=x.shape), x))
+    rows, hits, _ = hnsw.lookup(graph, x, queries, np.arange(len(x)) if own else None)
+    assert set(zip(rows.tolist(), hits.tolist())) == set(zip(*(i.tolist() for i in np.nonzero(queries @ x.T >= 0.98))))

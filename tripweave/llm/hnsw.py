@@ -7,8 +7,8 @@ Inside a task many lookups advance together as array operations.
 
 A lookup keeps a beam of the most similar points met. A beam full of links may have missed some,
 so from there it goes on without a bound, over all links and near links it can reach; and a fixed
-part of the lookups is audited against a full comparison, widening all beams of the shard until
-the recall is reached.
+part of the lookups, larger where links are few, is audited against a full comparison, widening
+all beams of the shard until the recall of links between different points is reached.
 Candidates are verified by the cosine in double precision. Links leave a task as counts per
 class and as a spanning forest, never as pairs.
 """
@@ -34,8 +34,9 @@ SHARD_ROWS = 65_536
 #: Links of a point in the base layer, half of them above; beams while building and looking up.
 DEGREE, BUILD_BEAM, BEAM = 24, 40, 48
 
-#: One lookup in so many is audited; a shard's beams widen until this recall is reached.
-AUDIT_EVERY, RECALL = 50, 0.995
+#: One lookup in so many is audited, and more until they have so many links; a shard's beams widen
+#: until this recall is reached.
+AUDIT_EVERY, AUDIT_LINKS, RECALL = 50, 200, 0.995
 
 
 class Graph:
@@ -237,7 +238,6 @@ def lookup(graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray
     if own is not None:
         start = np.concatenate([own[:, None], start], axis=1)
     loose = threshold - 1e-4
-    audited = np.arange(0, len(queries), AUDIT_EVERY)
     beam = min(BEAM, len(exact))
     truth = None
     while True:
@@ -251,13 +251,45 @@ def lookup(graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray
         if beam >= len(exact):
             break
         if truth is None:
-            truth = sum(int((queries[audited[i : i + 256]] @ exact.T >= threshold).sum()) for i in range(0, len(audited), 256))
-        if np.isin(rows, audited).sum() >= RECALL * truth:
+            audited, truth, known = _audit(exact, queries, own is not None, threshold)
+            if known is not None:
+                rows, hits = known
+                break
+        real = rows != hits if own is not None else np.ones(len(rows), dtype=bool)
+        if audited[rows[real]].sum() >= RECALL * truth:
             break
         beam = min(2 * beam, len(exact))
     return rows, hits, beam
 
 
+def _audit(exact: np.ndarray, queries: np.ndarray, own: bool, threshold: float) -> tuple[np.ndarray, int, tuple[np.ndarray, np.ndarray] | None]:
+    """Which lookups are compared in full, and how many links they have; a point's match with itself is none.
+
+    Lookups are added until they have ``AUDIT_LINKS`` links. Where all of them have fewer, the
+    links of all are known and returned (in a shard of its own, with every point's own).
+    """
+    order = np.argsort(np.arange(len(queries)) % AUDIT_EVERY, kind="stable")
+    audited = np.zeros(len(queries), dtype=bool)
+    size, done, truth = -(-len(queries) // AUDIT_EVERY), 0, 0
+    rows, hits = [np.arange(len(queries) if own else 0)], [np.arange(len(queries) if own else 0)]
+    while done < len(queries) and (done < size or truth < AUDIT_LINKS):
+        part = order[done : done + 256] if done >= size else order[done : min(done + 256, size)]
+        match = queries[part] @ exact.T >= threshold
+        if own:
+            match[np.arange(len(part)), part] = False
+        count = int(match.sum())
+        truth += count
+        if truth < AUDIT_LINKS and count:
+            r, c = np.nonzero(match)
+            rows.append(part[r])
+            hits.append(c)
+        audited[part] = True
+        done += len(part)
+    if done < len(queries) or truth >= AUDIT_LINKS:
+        return audited, truth, None
+    return audited, truth, (np.concatenate(rows), np.concatenate(hits))
+
+
 def _links(graph: Graph, q: np.ndarray, start: np.ndarray, beam: int, loose: float) -> tuple[np.ndarray, np.ndarray]:
     """Query and graph rows of all links met by beams of this width, or by ones as wide as the
     links themselves where a beam was full of them."""
