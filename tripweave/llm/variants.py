@@ -6,12 +6,12 @@ at exactly 1. Words lie in blocks of one length; squared distances between a blo
 or the next length come from one NumPy product, ``|x|^2 + |y|^2 - 2 xy``. Pairs in reach are
 verified letter by letter.
 
-So that a block meets few others, letters are dealt into three groups. One edit touches two
-letters at most, hence leaves the counts of a whole group as they were: words near each other
-share at least one key (group, counts of its letters), and no pair is lost. A list under one
-key that is longer than ``BLOCK`` is cut into blocks of one length each, and every pair of blocks
-of equal or adjacent length is a unit of work of its own. A pair that shares several keys counts
-under the first.
+So that a block meets few others, letters are dealt into four groups. One edit touches two
+letters at most, hence leaves the counts of two whole groups as they were: words near each
+other share at least one key (two groups, counts of their letters), and no pair is lost. A
+list under one key that is longer than ``BLOCK`` is cut into blocks of one length each, and every pair
+of blocks of equal or adjacent length is a unit of work of its own. A pair that shares several
+keys counts under the first.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fanout, field, slices, store
@@ -37,6 +38,9 @@ BLOCK = 1024
 #: Code points of a block's words held for verification at once.
 CELLS = 1 << 22
 
+#: Words of a list that meet in one product, whatever their lengths.
+SMALL = 192
+
 #: Pairs that go out at once.
 OUT_ROWS = 8192
 
@@ -48,7 +52,8 @@ _RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+")
 
 #: Letters of a word after lower-casing A-Z, each with its place in the count vector and its group.
 LETTERS = [*range(0x61, 0x7B), *range(0xC0, 0x100)]
-GROUPS = 3
+GROUPS = 4
+KEYS = list(combinations(range(GROUPS), 2))
 _PLACE = np.full(0x100, -1)
 _PLACE[LETTERS] = np.arange(len(LETTERS))
 _GROUP = np.arange(len(LETTERS)) % GROUPS
@@ -116,64 +121,80 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         words = batch.column(0).to_pylist()
         counts = letter_counts(words).astype("<u4")
-        keys = np.empty((len(words), GROUPS), dtype=np.int64)
-        for g in range(GROUPS):
-            part = np.ascontiguousarray(counts[:, _GROUP == g])
-            keys[:, g] = [xxhash.xxh64_intdigest(row.tobytes(), g) // 8 * GROUPS + g for row in part]
+        keys = np.empty((len(words), len(KEYS)), dtype=np.int64)
+        for k, groups in enumerate(KEYS):
+            part = np.ascontiguousarray(counts[:, np.isin(_GROUP, groups)])
+            keys[:, k] = [xxhash.xxh64_intdigest(row, k) // 16 * len(KEYS) + k for row in part]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))], ["word", "length", "keys"]
         )
 
 
-def _one_edit(words: list[str], others: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs are one replaced letter (equal lengths) or one more letter in ``others`` apart."""
-    short, long = len(words[0]), len(others[0])
-    a = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), short)
-    b = np.frombuffer("".join(others).encode("utf-32-le"), dtype="<u4").reshape(len(others), long)
-    good = np.zeros(len(i), dtype=bool)
-    step = max(1, CELLS // long)
+def _grid(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all words, a byte each, aligned on the left and on the right."""
+    both = ("".join([w.ljust(longest, "\0") for w in words]), "".join([w.rjust(longest, "\0") for w in words]))
+    return tuple(np.frombuffer(text.encode("latin-1"), dtype=np.uint8).reshape(len(words), longest) for text in both)
+
+
+def one_edit(words: list[str], lengths: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs, of equal or adjacent lengths, are one inserted, deleted or replaced letter apart.
+
+    Such words agree before the edit and after it: letters alike at both ends make up the shorter one.
+    """
+    longest = int(lengths.max())
+    if longest * len(words) <= CELLS or len(words) <= 2:
+        return _ends(words, lengths, i, j, longest)
+    first, second = np.array([0]), np.array([1])  # very long words: a pair at a time
+    return np.array([one_edit([words[a], words[b]], lengths[[a, b]], first, second)[0] for a, b in zip(i, j)])
+
+
+def _ends(words: list[str], lengths: np.ndarray, i: np.ndarray, j: np.ndarray, longest: int) -> np.ndarray:
+    ahead, behind = _grid(words, longest)
+    alike = np.empty(len(i), dtype=np.int64)
+    step = max(1, CELLS // longest)
     for at in range(0, len(i), step):
-        x, y = a[i[at : at + step]], b[j[at : at + step]]
-        if short == long:
-            good[at : at + step] = (x != y).sum(axis=1) == 1
-        else:
-            head = np.logical_and.accumulate(x == y[:, :short], axis=1).sum(axis=1)
-            tail = np.logical_and.accumulate((x == y[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-            good[at : at + step] = head + tail >= short
-    return good
+        a, b = i[at : at + step], j[at : at + step]
+        alike[at : at + step] = (ahead[a] != ahead[b]).argmax(axis=1) + (behind[a] != behind[b])[:, ::-1].argmax(axis=1)
+    return alike >= np.minimum(lengths[i], lengths[j]) - (lengths[i] == lengths[j])
+
+
+def _blocks(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index blocks that meet: a small list as a whole, else those of equal or adjacent length."""
+    if len(lengths) <= SMALL:
+        yield np.arange(len(lengths)), np.arange(len(lengths))
+        return
+    for length in np.unique(lengths):
+        mine = np.flatnonzero(lengths == length)
+        for theirs in (mine, np.flatnonzero(lengths == length + 1)):
+            for p in range(0, len(mine), BLOCK):
+                for q in range(p if theirs is mine else 0, len(theirs), BLOCK):
+                    yield mine[p : p + BLOCK], theirs[q : q + BLOCK]
 
 
-def near_pairs(words: list[str], sides: np.ndarray, group: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of words one edit apart whose first unchanged group of letters is ``group``.
+def near_pairs(words: list[str], sides: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of words one edit apart that meet first under a key of kind ``key``.
 
     ``sides`` names the block of each word; words of equal side do not meet unless it is negative.
     """
     lengths = np.array([len(w) for w in words])
     counts = letter_counts(words)
     norms = (counts * counts).sum(axis=1)
-    for length in np.unique(lengths):
-        mine = np.flatnonzero(lengths == length)
-        for other in (length, length + 1):
-            theirs = np.flatnonzero(lengths == other)
-            for p in range(0, len(mine), BLOCK):
-                for q in range(p if other == length else 0, len(theirs), BLOCK):
-                    left, right = mine[p : p + BLOCK], theirs[q : q + BLOCK]
-                    apart = norms[left][:, None] + norms[right][None, :] - 2 * (counts[left] @ counts[right].T)
-                    i, j = np.nonzero(apart == (2 if other == length else 1))
-                    keep = (sides[left[i]] != sides[right[j]]) | (sides[left[i]] < 0)
-                    if other == length:
-                        keep &= left[i] < right[j]
-                    i, j = i[keep], j[keep]
-                    if not len(i):
-                        continue
-                    changed = counts[left[i]] != counts[right[j]]
-                    same = np.stack([~changed[:, _GROUP == g].any(axis=1) for g in range(GROUPS)], axis=1)
-                    first = same.argmax(axis=1) == group
-                    i, j = i[first], j[first]
-                    if not len(i):
-                        continue
-                    good = _one_edit([words[k] for k in left], [words[k] for k in right], i, j)
-                    yield left[i[good]], right[j[good]]
+    for left, right in _blocks(lengths):
+        apart = norms[left][:, None] + norms[right][None, :] - 2 * (counts[left] @ counts[right].T)
+        i, j = np.nonzero((apart == 1) | (apart == 2))
+        i, j = left[i], right[j]
+        step = lengths[j] - lengths[i]
+        keep = ((step == 1) | (step == 0) & (i < j)) & ((sides[i] != sides[j]) | (sides[i] < 0))
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        changed = counts[i] != counts[j]
+        same = [~changed[:, _GROUP == g].any(axis=1) for g in range(GROUPS)]
+        first = np.stack([same[a] & same[b] for a, b in KEYS], axis=1).argmax(axis=1) == key
+        i, j = i[first], j[first]
+        if len(i):
+            good = one_edit(words, lengths, i, j)
+            yield i[good], j[good]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +203,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: tuple[list, list, list] = ([], [], [])
 
     def meet() -> None:
-        for i, j in near_pairs(words, np.array(sides), unit[0] % GROUPS):
+        for i, j in near_pairs(words, np.array(sides), unit[0] % len(KEYS)):
             for x, y in ((i, j), (j, i)):
                 found[0].extend(words[k] for k in x)
                 found[1].extend(words[k] for k in y)
@@ -192,14 +213,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int64())], ["word", "near", "near_n"])
 
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if row[:3] != unit:
+        named = np.stack([np.asarray(c) for c in batch.columns[:3]], axis=1)
+        starts = np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1
+        bounds = [0, *starts.tolist(), len(named)] if len(named) else [0]
+        side, word, n = (c.to_pylist() for c in batch.columns[3:])
+        for a, b in zip(bounds, bounds[1:]):
+            now = tuple(named[a].tolist())
+            if now != unit:
                 if len(words) > 1:
                     meet()
-                unit, words, sides, counts = row[:3], [], [], []
-            sides.append(row[3])
-            words.append(row[4])
-            counts.append(row[5])
+                unit, words, sides, counts = now, [], [], []
+            words += word[a:b]
+            sides += side[a:b]
+            counts += n[a:b]
         if len(found[0]) >= OUT_ROWS:
             yield out()
             for column in found:
@@ -214,17 +240,17 @@ def near_words(vocab: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = vocab.sparkSession
     keyed = vocab.select("word", "n").mapInArrow(_with_n(_keys), "word string, n long, length int, keys array<long>")
     posted = store(keyed.select("word", "n", "length", F.explode("keys").alias("key")), "posted")
-    per_length = posted.groupBy("key", "length").count()
-    lists = per_length.groupBy("key").agg(F.sum("count").alias("members"))
-    short = posted.join(lists.where((F.col("members") > 1) & (F.col("members") <= block)).select("key"), "key")
-    units = short.select("key", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(-1).cast("long").alias("side"), "word", "n")
-    # long lists: blocks of one length, each with its number inside the list
-    cut = per_length.join(lists.where(F.col("members") > block).select("key"), "key").select("key", "length", F.ceil(F.col("count") / block).cast("long").alias("blocks"))
+    # long lists alone are numbered: blocks of one length, each with its place inside the list
+    sizes = posted.groupBy("key", "length").count()
+    sizes = sizes.withColumn("members", F.sum("count").over(Window.partitionBy("key"))).where(F.col("members") > block)
+    cut = store(sizes.select("key", "length", F.ceil(F.col("count") / block).cast("long").alias("blocks")), "cut")
+    zero = F.lit(0).cast("long")
+    dealt = posted.join(cut, ["key", "length"], "left").withColumn("mine", F.pmod(F.xxhash64("word"), F.col("blocks")))
+    units = dealt.where("blocks IS NULL").select("key", zero.alias("low"), zero.alias("high"), F.lit(-1).cast("long").alias("side"), "word", "n")
     around = F.array(*[F.struct((F.col("length") + d).alias("length"), F.lit(-d).alias("step"), F.col("blocks").alias("theirs")) for d in (-1, 0, 1)])
     meets = cut.select("key", F.explode(around).alias("m")).select("key", "m.*")
-    dealt = posted.join(cut, ["key", "length"]).withColumn("mine", F.pmod(F.xxhash64("word"), F.col("blocks")))
-    paired = dealt.drop("blocks").join(meets, ["key", "length"]).select("key", "length", "word", "n", "mine", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)).alias("other"))
-    # a block's number: its length above, its place in the length below
+    paired = dealt.where("blocks IS NOT NULL").drop("blocks").join(meets, ["key", "length"])
+    paired = paired.select("key", "length", "word", "n", "mine", "step", F.explode(F.sequence(zero, F.col("theirs") - 1)).alias("other"))
     name = lambda length, place: length.cast("long") * (1 << 32) + place
     mine, other = name(F.col("length"), F.col("mine")), name(F.col("length") + F.col("step"), F.col("other"))
     long = paired.select("key", F.least(mine, other).alias("low"), F.greatest(mine, other).alias("high"), F.when(mine == other, F.lit(-1).cast("long")).otherwise(mine).alias("side"), "word", "n")
