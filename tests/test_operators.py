@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave.functions import clock, geo, text
-from tripweave.operators import candidates, catalog, journey, rank, requests, search, spatial, timetable
+from tripweave.operators import candidates, catalog, foci, journey, rank, requests, search, spatial, timetable
 from tripweave.sources import elements, feeds, sinks
 
 
@@ -49,6 +49,59 @@ def test_k_nearest_equals_exhaustive_scan(spark):
         assert [n.site_id for n in row.near] == want[:4]
 
 
+def test_far_points_keep_their_nearest_site(spark):
+    sites = [("a", 1.3, 103.8), ("b", 1.31, 103.9), ("c", 8.0, 110.0)]
+    probes = [(1.3, 103.81), (4.9, 105.0), (-33.9, 151.2), (51.5, -0.1), (9.0, 111.0)]
+    frame = spark.createDataFrame(probes, "lat double, lon double")
+    found = spatial.nearest(frame, spark.createDataFrame(sites, "site_id string, lat double, lon double")).collect()
+    want = {p: min((km(*p, s[1], s[2]), s[0]) for s in sites) for p in probes}
+    assert {(r.lat, r.lon): r.site_id for r in found} == {p: w[1] for p, w in want.items()}
+    assert all(r.distance_m == pytest.approx(want[r.lat, r.lon][0] * 1000, abs=0.06) for r in found)
+    named = spark.createDataFrame([(i, n, a, o) for i, (n, a, o) in enumerate(sites + [("a", 1.29, 103.79)])], "site_id int, name string, s_lat double, s_lon double")
+    near = {(r.lat, r.lon): [n.name for n in r.near] for r in spatial.k_nearest(frame, named, 2).collect()}
+    assert set(near) == set(probes) and near[9.0, 111.0] == ["c", "b"] and near[1.3, 103.81] == ["a", "b"]
+
+
+def test_least_detour_equals_exhaustive_scan(spark):
+    rng = random.Random(11)
+    spot = lambda: (rng.uniform(1.22, 1.46), rng.uniform(103.62, 104.05))
+    hubs = [(i, *spot(), rng.choice([0, 0, 0, 1, 2])) for i in range(400)] + [(400, 1.3, 103.8, 0), (401, 1.3, 103.8, 0), (402, 5.0, 101.0, 3), (403, None, 1.0, 0)]
+    ends = [(i, *spot(), *spot(), rng.choice([0, 1, 2])) for i in range(40)] + [(40, 1.3, 103.8, 1.3, 103.8, 0), (41, 1.3, 103.8, 1.4, 103.9, 3), (42, 1.3, 103.8, 1.4, 103.9, 9), (43, 30.0, 90.0, 31.0, 91.0, 1)]
+    base = [(*e, km(*e[1:5])) for e in ends]
+    chord = F.round(F.greatest(F.lit(0.0), geo.haversine_km("o_lat", "o_lon", "lat", "lon") + geo.haversine_km("lat", "lon", "d_lat", "d_lon") - F.col("base_km")), 6)
+    found = foci.least_detour(
+        spark.createDataFrame(base, "need int, o_lat double, o_lon double, d_lat double, d_lon double, key int, base_km double"),
+        spark.createDataFrame(hubs, "hub_id int, lat double, lon double, key int"), ["need"], ["key"], 5, chord, [F.col("hub_id")], ["hub_id"],
+    ).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.need, []).append((r.chord_km, r.hub_id))
+    for n, a, b, c, d, key, straight in base:
+        want = sorted((round(max(0.0, km(a, b, h[1], h[2]) + km(h[1], h[2], c, d) - straight), 6), h[0]) for h in hubs if h[3] == key and h[1])[:5]
+        assert [h for _, h in sorted(got.get(n, []))] == [h for _, h in want], n
+
+
+def test_strip_cells_cover_the_corridor(spark):
+    rng = random.Random(2)
+    spot = lambda: (rng.uniform(1.22, 1.46), rng.uniform(103.62, 104.05))
+    lines = [(i, *spot(), *spot()) for i in range(30)] + [(30, 1.3, 103.7, 1.3, 103.9), (31, 1.3, 103.7, 1.4, 103.7), (32, 1.3, 103.7, 1.3, 103.7)]
+    hubs = [(i, *spot()) for i in range(1500)]
+    rows = spark.createDataFrame(lines, "line int, a_lat double, a_lon double, b_lat double, b_lon double")
+    sited = spark.createDataFrame(hubs, "hub int, lat double, lon double")
+    exact = geo.segment_km("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon") <= 2.5
+    by_cell = rows.withColumn("cell", F.explode(candidates._segment_cells("a_lat", "a_lon", "b_lat", "b_lon"))).join(sited.withColumn("cell", candidates._cell_of("lat", "lon")), "cell")
+    everything = rows.crossJoin(sited)
+    pick = lambda frame: sorted(map(tuple, frame.filter(exact).select("line", "hub").collect()))
+    assert pick(by_cell) == pick(everything)
+    assert by_cell.count() < 0.5 * everything.count()
+
+
+def test_long_repeats_do_not_overflow(spark):
+    texts = ["coffee" + " please" * 20_000, "just " * 20_000 + "coffee", "coffee" + " - " * 9_000 + "please", "buy coffee  please too - as well"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("norm", text.normalize("text"))
+    assert [r.clause for r in requests.clauses(frame).collect()] == ["coffee"] * 4
+
+
 def test_service_state_keeps_unknown_and_yesterday(spark):
     fields = "weekday_first string, weekday_last string, saturday_first string, saturday_last string, sunday_first string, sunday_last string"
     row = spark.createDataFrame([("0530", "2352", "0530", "0015", None, None)], fields)

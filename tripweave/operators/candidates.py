@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import params
 from ..functions import geo
-from . import spatial
+from . import foci, spatial
 
-CELL = 0.025
+CELL = 0.0125
+#: First margin of a search whose corridor held nothing: its hubs are not close.
+LEFTOVER_KM = 8.0
 #: Categories a hub's mask can hold; an index beyond it is an error, not a loss.
 MASK_BITS = 63
 ROUTE_FIELDS = ("o_lat", "o_lon", "d_lat", "d_lon")
@@ -162,12 +164,27 @@ def _cell_of(lat: str, lon: str) -> Column:
 
 
 def _segment_cells(a_lat, a_lon, b_lat, b_lon) -> Column:
-    """Cells touched by a segment's rectangle widened by the corridor."""
+    """Cells that the corridor around a segment may touch, row by row.
+
+    A point of the corridor is no further than the margins from a point of the segment. So of a
+    row of cells only the part counts that faces what the segment has in the row, widened by the
+    margin: a slanting segment takes a strip and not its whole rectangle.
+    """
     a_lat, a_lon, b_lat, b_lon = map(geo.col, (a_lat, a_lon, b_lat, b_lon))
     dy, dx = geo.lat_margin(params.CORRIDOR_KM), geo.lon_margin(params.CORRIDOR_KM)
-    ys = geo.cells_between(F.least(a_lat, b_lat) - dy, F.greatest(a_lat, b_lat) + dy, CELL)
-    xs = geo.cells_between(F.least(a_lon, b_lon) - dx, F.greatest(a_lon, b_lon) + dx, CELL)
-    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: y * 100000 + x)))
+    south, north = F.least(a_lat, b_lat), F.greatest(a_lat, b_lat)
+    flat = north - south < 1e-6
+    slope = (b_lon - a_lon) / F.when(flat, F.lit(1.0)).otherwise(b_lat - a_lat)
+
+    def row(y: Column) -> Column:
+        low = F.greatest(south, F.least(north, y * CELL - dy))
+        high = F.least(north, F.greatest(south, (y + 1) * CELL + dy))
+        at_low, at_high = a_lon + (low - a_lat) * slope, a_lon + (high - a_lat) * slope
+        west = F.when(flat, F.least(a_lon, b_lon)).otherwise(F.least(at_low, at_high))
+        east = F.when(flat, F.greatest(a_lon, b_lon)).otherwise(F.greatest(at_low, at_high))
+        return F.transform(geo.cells_between(west - dx, east + dx, CELL), lambda x: y * 100000 + x)
+
+    return F.flatten(F.transform(geo.cells_between(south - dy, north + dy, CELL), row))
 
 
 def measure(rows: DataFrame, rail_km: Column) -> DataFrame:
@@ -281,18 +298,48 @@ def category_pairs(hub_rows: DataFrame) -> DataFrame:
     return hub_rows.withColumnRenamed("category", "c1").join(other, "hub_id").filter("c1 <> c2")
 
 
-def all_of_category(rows: DataFrame, hub_rows: DataFrame, closure: DataFrame, lines: DataFrame) -> DataFrame:
-    """(search, hub) rows over the whole catalog of the wanted categories; for leftovers only."""
-    rows = rows.join(lines, ["s", "t"], "left")
-    met = once_per_hub(expand_categories(rows, closure).join(hub_rows, "category"))
-    plain = measure(met.drop("category", "wanted"), F.lit(None).cast("double"))
+def _offers(hub_rows: DataFrame, brands: DataFrame | None = None) -> DataFrame:
+    """Hubs by what they offer: a category, with a brand or any (-1), beside another category or any (-1)."""
+    none = F.lit(-1).cast("bigint")
+    plain = hub_rows.select("hub_id", "lat", "lon", "unit", "kind", "node_m", F.col("category").cast("bigint").alias("wants"), none.alias("brand"), "mask")
+    if brands is not None:
+        known = brands.select("hub_id", F.col("category").cast("bigint").alias("wants"), F.col("brand").cast("bigint").alias("brand"))
+        plain = plain.unionByName(plain.drop("brand").join(known, ["hub_id", "wants"]))
+    others = F.filter(F.sequence(F.lit(0), F.lit(MASK_BITS - 1)), lambda c: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), c)) != 0)
+    beside = F.array_union(F.array(none), F.filter(F.transform(others, lambda c: c.cast("bigint")), lambda c: c != F.col("wants")))
+    return plain.withColumn("beside", F.explode(beside)).drop("mask")
+
+
+def from_catalog(wanted: DataFrame, search_rows: DataFrame, hub_rows: DataFrame, lines: DataFrame, k: int, brands: DataFrame | None = None) -> DataFrame:
+    """(search, hub) rows over the whole catalog that can be among the best ``k`` of a list.
+
+    ``wanted``: sid, wants, brand, beside; hubs that serve both errands rank before others, so lists
+    ask for them apart. Of each kind of hub the ``k`` of least detour are found between the two
+    ends of the trip; a hub that is not among them has ``k`` better ones of its own coverage and kind.
+    """
+    keys = ["wants", "brand", "beside", "kind"]
+    ends = search_rows.select("sid", *ROUTE_FIELDS, "base_km", "o_unit", "d_unit")
+    needs = wanted.distinct().withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).join(ends, "sid")
+    chord = F.greatest(F.lit(0.0), geo.between_units("o_unit", "unit") + geo.between_units("unit", "d_unit") - F.col("base_km"))
+    ties = [F.coalesce("node_m", F.lit(99999.0)), F.col("hub_id")]
+    found = foci.least_detour(needs, _offers(hub_rows, brands), ["sid", *keys], keys, k, chord, ties, ["hub_id"], LEFTOVER_KM)
+    once = hub_rows.filter("(mask & (shiftleft(1L, cast(category as int)) - 1)) = 0").drop("category")
+    met = found.select("sid", "hub_id").distinct().join(search_rows.join(lines, ["s", "t"], "left"), "sid").join(once, "hub_id")
     line = F.aggregate(
         F.arrays_zip(F.slice("line", F.lit(1), F.size("line") - 1).alias("a"), F.slice("line", F.lit(2), F.size("line") - 1).alias("b")),
         F.lit(1e9),
         lambda best, z: F.least(best, geo.segment_km("lat", "lon", z["a"]["lat"], z["a"]["lon"], z["b"]["lat"], z["b"]["lon"])),
     )
     exact = F.when(F.col("walk_only"), F.col("line_km")).otherwise(F.least("line_km", line))
-    return flags(plain.withColumn("line_km", exact))
+    return flags(measure(met, F.lit(None).cast("double")).withColumn("line_km", exact))
+
+
+def _asking(rows: DataFrame, wants: str, brand: str | None, other: str) -> DataFrame:
+    """What a list of errand ``wants`` asks of the catalog: alone, and beside the other errand."""
+    none = F.lit(-1).cast("bigint")
+    beside = F.array_compact(F.array(none, F.when(F.col(other) != F.col(wants), F.col(other).cast("bigint"))))
+    named = F.coalesce(F.col(brand).cast("bigint"), none) if brand else none
+    return rows.filter(F.col(wants).isNotNull()).select("sid", F.col(wants).cast("bigint").alias("wants"), named.alias("brand"), F.explode(beside).alias("beside"))
 
 
 def near_lists(search_rows: DataFrame, hub_rows: DataFrame, line_hubs: DataFrame, closure: DataFrame) -> DataFrame:
@@ -315,7 +362,9 @@ def _own_limit() -> Column:
 def corridor_fallback(search_rows: DataFrame, near: DataFrame, hub_rows: DataFrame, closure: DataFrame, lines: DataFrame) -> DataFrame:
     """Searches without any corridor hub: the best-ranked hubs of the category stand in."""
     far = search_rows.join(near.select("sid").distinct(), "sid", "left_anti")
-    rows = all_of_category(far, hub_rows, closure, lines).withColumn(
+    below = expand_categories(far.select("sid", "c1", "c2"), closure).withColumn("none", F.lit(None).cast("bigint"))
+    wanted = _asking(below, "category", None, "none").unionByName(_asking(far, "c1", None, "c2"))
+    rows = from_catalog(wanted, far, hub_rows, lines, LIST_LIMIT).withColumn(
         "rn", F.row_number().over(Window.partitionBy("sid").orderBy(*rank_order()))
     )
     return _all_tags(rows.filter(F.col("rn") <= LIST_LIMIT).filter(F.col("rn") <= _own_limit()))
@@ -327,18 +376,18 @@ def transit_access(rows: DataFrame) -> DataFrame:
     return dedupe(rows).withColumn("any_transit", any_transit).filter("transit OR NOT any_transit").drop("any_transit")
 
 
-def coverage_rescue(search_rows: DataFrame, rows: DataFrame, hub_rows: DataFrame, closure: DataFrame, lines: DataFrame) -> DataFrame:
+def coverage_rescue(search_rows: DataFrame, rows: DataFrame, hub_rows: DataFrame, lines: DataFrame) -> DataFrame:
     """The best two hubs for each wanted category the filters left without any.
 
     The second category looks at what the first one's rescue brought in as well.
     """
     best_two = F.row_number().over(Window.partitionBy("sid").orderBy(*rank_order()))
     first = search_rows.join(rows.filter("has1").select("sid").distinct(), "sid", "left_anti")
-    first = all_of_category(first, hub_rows, closure, lines).filter("has1").withColumn("rn", best_two).filter("rn <= 2")
+    first = from_catalog(_asking(first, "c1", None, "c2"), first, hub_rows, lines, 2).filter("has1").withColumn("rn", best_two).filter("rn <= 2")
     first = _all_tags(first)
     served = rows.filter("has2").select("sid").union(first.filter("has2").select("sid")).distinct()
     second = search_rows.filter("c2 IS NOT NULL").join(served, "sid", "left_anti")
-    second = all_of_category(second, hub_rows, closure, lines).filter("has2").withColumn("rn", best_two).filter("rn <= 2")
+    second = from_catalog(_asking(second, "c2", None, "c1"), second, hub_rows, lines, 2).filter("has2").withColumn("rn", best_two).filter("rn <= 2")
     return first.unionByName(_all_tags(second))
 
 
@@ -496,7 +545,7 @@ def prune(rows: DataFrame) -> DataFrame:
     )
 
 
-def exact_fallback(search_rows: DataFrame, found: DataFrame, hub_rows: DataFrame, brands: DataFrame, closure: DataFrame, lines: DataFrame) -> DataFrame:
+def exact_fallback(search_rows: DataFrame, found: DataFrame, hub_rows: DataFrame, brands: DataFrame, lines: DataFrame) -> DataFrame:
     """Shortlists for constrained searches left without options: the whole catalog counts.
 
     Only searches whose brand exists in the wanted category can gain anything.
@@ -506,7 +555,8 @@ def exact_fallback(search_rows: DataFrame, found: DataFrame, hub_rows: DataFrame
     for n in (1, 2):
         offered = known.select(F.col("category").alias(f"c{n}"), F.col("brand").alias(f"brand{n}"), F.lit(True).alias("offered"))
         asked = asked.join(offered, [f"c{n}", f"brand{n}"], "left").filter(F.col("offered") | F.col(f"brand{n}").isNull()).drop("offered")
-    rows = mark_brands(all_of_category(asked, hub_rows, closure, lines), brands)
+    wanted = _asking(asked, "c1", "brand1", "c2").unionByName(_asking(asked, "c2", "brand2", "c1"))
+    rows = mark_brands(from_catalog(wanted, asked, hub_rows, lines, params.HUBS_PER_CATEGORY, brands), brands)
     every = F.array_compact(F.array(F.when(F.col("sat1"), 1), F.when(F.col("sat2") & F.col("two"), 2)))
     best = top_lists(rows.withColumn("tag", F.explode(every)).select(*SLIM, "tag"), params.HUBS_PER_CATEGORY)
     return best.drop("tag").groupBy("sid", "hub_id").agg(*[F.first(c).alias(c) for c in SLIM if c not in ("sid", "hub_id")])
@@ -573,12 +623,16 @@ def admit(rows: DataFrame) -> DataFrame:
 def near_misses(needs: DataFrame, hub_rows: DataFrame, substitutes: DataFrame, closure: DataFrame) -> DataFrame:
     """Per asked category the hub of its substitute with the least chord detour."""
     swap = substitutes.select(F.col("category").alias("asked"), "substitute")
-    wanted = closure.select(F.col("ancestor").alias("substitute"), "category")
-    rows = needs.join(swap, "asked").join(wanted, "substitute").join(hub_rows, "category")
-    chord = F.greatest(
+    wanted = closure.select(F.col("ancestor").alias("substitute"), F.col("category").cast("bigint").alias("category"))
+    rows = needs.select("trip_id", "asked", *ROUTE_FIELDS, "base_km").distinct().join(swap, "asked").join(wanted, "substitute")
+    rows = rows.select("trip_id", "category", *ROUTE_FIELDS, "base_km").distinct()
+    chord = F.round(F.greatest(
         F.lit(0.0), geo.haversine_km("o_lat", "o_lon", "lat", "lon") + geo.haversine_km("lat", "lon", "d_lat", "d_lon") - F.col("base_km")
-    )
-    best = F.min(F.struct(F.round(chord, 9).alias("km"), "hub_id")).alias("best")
-    return rows.groupBy("trip_id", "asked", "substitute").agg(best).select(
+    ), 9)
+    sites = hub_rows.select("hub_id", "lat", "lon", F.col("category").cast("bigint").alias("category"))
+    near = foci.least_detour(rows, sites, ["trip_id", "category"], ["category"], 1, chord, [F.col("hub_id")], ["hub_id"])
+    asked = needs.select("trip_id", "asked").distinct().join(swap, "asked").join(wanted, "substitute")
+    best = F.min(F.struct(F.col("chord_km").alias("km"), "hub_id")).alias("best")
+    return asked.join(near, ["trip_id", "category"]).groupBy("trip_id", "asked", "substitute").agg(best).select(
         "trip_id", "asked", "substitute", F.col("best.hub_id").alias("hub_id"), F.col("best.km").alias("chord_km")
     )

@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import params
 from ..functions import geo
+from . import foci
 
 # Nearest-neighbour grid sizes in degrees; each is four times the one before.
 LEVELS = (0.0005, 0.002, 0.008, 0.032, 0.128, 0.512, 2.048)
+# Way there and back of the first ring around a point that no grid connects to a site.
+FAR_KM = 512.0
 
 
 def _level_keys(lat: Column, lon: Column) -> Column:
@@ -42,7 +45,8 @@ def nearest(points: DataFrame, sites: DataFrame, site_id: str = "site_id") -> Da
 
     The finest grid whose 3x3 block holds any site bounds the distance by less than
     one cell of the next coarser grid, so one equi-join on that coarser grid sees the
-    true nearest. Ties go to the smaller site id.
+    true nearest. Points that only the last grid or none connects to a site are searched in
+    widening rings. Ties go to the smaller site id; without sites there are no rows.
     """
     places = points.select("lat", "lon").distinct()
     distinct_sites = sites.groupBy("lat", "lon").agg(F.min(site_id).alias(site_id))
@@ -56,19 +60,29 @@ def nearest(points: DataFrame, sites: DataFrame, site_id: str = "site_id") -> Da
         .select("lat", "lon", "k.*")
         .join(reached, ["level", "cy", "cx"], "left_semi")
         .groupBy("lat", "lon")
-        .agg(F.min("level").alias("found"))
-        .withColumn("level", F.least(F.col("found") + 1, F.lit(len(LEVELS) - 1)))
+        .agg((F.min("level") + 1).alias("level"))
+        .filter(F.col("level") < len(LEVELS))
     )
     size = F.element_at(F.array(*[F.lit(s) for s in LEVELS]), F.col("level") + 1)
     keyed = finest.withColumn("cy", F.floor(F.col("lat") / size)).withColumn("cx", F.floor(F.col("lon") / size))
     metres = geo.haversine_km("lat", "lon", "s_lat", "s_lon") * 1000
     best = F.min(F.struct(metres.alias("metres"), F.col(site_id).alias("id"))).alias("best")
-    return (
-        keyed.join(_ring(site_cells), ["level", "cy", "cx"])
-        .groupBy("lat", "lon")
-        .agg(best)
-        .select("lat", "lon", F.col("best.id").alias(site_id), F.round("best.metres", 1).alias("distance_m"))
-    )
+    close = keyed.join(_ring(site_cells), ["level", "cy", "cx"]).groupBy("lat", "lon").agg(best).select("lat", "lon", "best.*")
+    far = places.join(finest.select("lat", "lon"), ["lat", "lon"], "left_anti")
+    rest = _rings(far, distinct_sites.withColumnRenamed(site_id, "id"), 1).select("lat", "lon", (F.col("km") * 1000).alias("metres"), "id")
+    return close.unionByName(rest).select("lat", "lon", F.col("id").alias(site_id), F.round("metres", 1).alias("distance_m"))
+
+
+def _rings(far: DataFrame, sites: DataFrame, k: int) -> DataFrame:
+    """``lat, lon, id, km`` of the ``k`` nearest sites: an ellipse whose foci are one point is a circle."""
+    one = F.lit(1).alias("any")
+    needs = far.filter("lat IS NOT NULL AND lon IS NOT NULL").select(
+        "lat", "lon", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"),
+        F.lit(0.0).alias("base_km"), one,
+    ).withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"})
+    there_and_back = 2 * geo.haversine_km("o_lat", "o_lon", "lat", "lon")
+    found = foci.least_detour(needs, sites.select("id", "lat", "lon", one), ["p_lat", "p_lon"], ["any"], k, there_and_back, [F.col("id")], ["id"], FAR_KM)
+    return found.select(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"), "id", (F.col("chord_km") / 2).alias("km"))
 
 
 def within(points: DataFrame, sites: DataFrame, km: float, distance: Column | None = None) -> DataFrame:
@@ -125,11 +139,24 @@ def catchments(sites: DataFrame, k: int, metric: str = "km") -> DataFrame:
 
 
 def k_nearest(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
-    """Up to ``k`` nearest sites with distinct names of every distinct (lat, lon)."""
+    """Up to ``k`` nearest sites with distinct names of every distinct (lat, lon).
+
+    Points outside the city, which have no catchment, are searched in widening rings. Among the
+    nearest ``k * m`` sites, no name having more than m, are ``k`` names and the nearest of each.
+    """
     places = points.select("lat", "lon").distinct()
+    south, north, west, east = params.CONTRACT
+    cells = [(int(a / CATCHMENT_CELL), int(b / CATCHMENT_CELL)) for a, b in ((south, north), (west, east))]
     near = places.withColumn("cy", geo.cell("lat", CATCHMENT_CELL)).withColumn("cx", geo.cell("lon", CATCHMENT_CELL))
-    rows = near.join(catchments(sites, k), ["cy", "cx"])
-    entry = F.struct(geo.haversine_km("lat", "lon", "s_lat", "s_lon").alias("km"), "site_id", "name")
+    inside = F.col("cy").between(*cells[0]) & F.col("cx").between(*cells[1])
+    close = near.filter(inside).join(catchments(sites, k), ["cy", "cx"])
+    close = close.select("lat", "lon", geo.haversine_km("lat", "lon", "s_lat", "s_lon").alias("km"), "site_id", "name")
+    far = near.filter(~inside).select("lat", "lon")
+    most = sites.groupBy("name").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    spots = sites.select(F.col("site_id").alias("id"), F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"))
+    rest = _rings(far, spots, k * most).join(sites.select(F.col("site_id").alias("id"), "name"), "id")
+    rows = close.unionByName(rest.select("lat", "lon", "km", F.col("id").alias("site_id"), "name"))
+    entry = F.struct("km", "site_id", "name")
     ranked = rows.groupBy("lat", "lon").agg(F.array_sort(F.collect_list(entry)).alias("near"))
     first_of_name = F.filter(
         "near", lambda s, i: ~F.exists(F.slice("near", F.lit(1), i), lambda earlier: earlier["name"] == s["name"])

@@ -125,21 +125,28 @@ class TripPlan:
             "near_lists", lambda: candidates.near_lists(self.searches(), self.hub_rows(), self.line_hubs(), self.closure()), keep=True
         )
 
+    def far_rows(self):
+        """Hubs of the whole catalog for searches whose corridor is empty."""
+        return self._once(
+            "far_rows",
+            lambda: candidates.corridor_fallback(self.searches(), self.near_lists(), self.hub_rows(), self.closure(), self.lines()),
+            keep=True,
+        )
+
     def corridor_rows(self):
         """Corridor hubs with transit access; the whole category where the corridor is empty."""
 
         def build():
             near = self.near_lists()
             both = candidates.full_cover(self.searches(), self.hub_rows(), self.line_hubs())
-            far = candidates.corridor_fallback(self.searches(), near, self.hub_rows(), self.closure(), self.lines())
-            return candidates.transit_access(near.unionByName(both).unionByName(far))
+            return candidates.transit_access(near.unionByName(both).unionByName(self.far_rows()))
 
         return self._once("corridor_rows", build, keep=True)
 
     def rescued(self):
         return self._once(
             "rescued",
-            lambda: candidates.coverage_rescue(self.searches(), self.corridor_rows(), self.hub_rows(), self.closure(), self.lines()),
+            lambda: candidates.coverage_rescue(self.searches(), self.corridor_rows(), self.hub_rows(), self.lines()),
             keep=True,
         )
 
@@ -156,7 +163,7 @@ class TripPlan:
     def exact_shortlist(self):
         def build():
             rows = candidates.exact_fallback(
-                self.searches(), self.pruned_first(), self.hub_rows(), self.brands(), self.closure(), self.lines()
+                self.searches(), self.pruned_first(), self.hub_rows(), self.brands(), self.lines()
             )
             return candidates.complete(rows, self.searches(), self.facts(), self.brands())
 
@@ -253,7 +260,7 @@ class TripPlan:
         per_pair = in_category.groupBy("c1", "c2").agg(F.count("*").alias("category_hubs"))
         met = candidates.flags(candidates.once_per_hub(candidates.near_route(spread_out, self.hub_rows(), self.line_hubs(), ["category"])))
         near = met.filter("inside").groupBy("sid", "hub_id").agg(F.bool_or("transit").alias("transit"))
-        far = candidates.corridor_fallback(main, self.near_lists(), self.hub_rows(), self.closure(), self.lines())
+        far = self.far_rows().filter("sid % 8 = 0")
         near = near.unionByName(far.groupBy("sid", "hub_id").agg(F.bool_or("transit").alias("transit")))
         corridor = near.groupBy("sid").agg(F.count("*").alias("corridor_hubs"), F.count_if("transit").alias("n"))
         extra = self.rescued().select("sid", "hub_id").distinct().groupBy("sid").agg(F.count("*").alias("extra"))

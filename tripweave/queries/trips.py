@@ -256,10 +256,7 @@ def _(g):
 
 @query("join_corridor_fallback", f"SELECT trip_id, hub_id FROM x_corridor {MAIN} AND NOT any_inside")
 def _(g):
-    p = plan(g)
-    main = p.searches().filter("sid % 8 = 0")
-    near = p.near_lists().filter("sid % 8 = 0")
-    return of_trip(candidates.corridor_fallback(main, near, p.hub_rows(), p.closure(), p.lines())).select("trip_id", "hub_id").distinct()
+    return of_trip(plan(g).far_rows()).select("trip_id", "hub_id").distinct()
 
 
 @query("join_transit_access", f"SELECT trip_id, COUNT(*) AS hubs, CAST(SUM(hub_id) AS BIGINT) AS hub_sum FROM x_transit {MAIN} GROUP BY trip_id")
@@ -268,7 +265,7 @@ def _(g):
     rows = candidates.expand_categories(p.searches().filter("sid % 8 = 0"), p.closure())
     met = candidates.once_per_hub(candidates.near_route(rows, p.hub_rows(), p.line_hubs(), ["category"]))
     met = candidates.flags(met).filter("inside").groupBy("trip_id", "hub_id").agg(F.bool_or("transit").alias("transit"))
-    far = of_trip(candidates.corridor_fallback(p.searches().filter("sid % 8 = 0"), p.near_lists(), p.hub_rows(), p.closure(), p.lines()))
+    far = of_trip(p.far_rows())
     met = met.unionByName(far.groupBy("trip_id", "hub_id").agg(F.bool_or("transit").alias("transit")))
     sums = met.groupBy("trip_id").agg(
         F.count_if("transit").alias("n"), F.count("*").alias("m"),
