@@ -228,3 +228,64 @@ def test_indistinguishable_winners_are_dropped(spark):
     frame = spark.createDataFrame([row(1, 1.0, 10.0, 2.0), row(2, 2.0, 9.0, 2.5), row(3, 9.0, 30.0, 0.0)], schema)
     kept = {r.result: r.first_stop for r in rank.distinct_winners(rank.objectives(rank.winner_pool(frame))).collect()}
     assert kept == {"best_overall": 1, "least_walking": 3}
+
+
+def test_a_version_appears_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "table")
+    rows = lambda *values: spark.createDataFrame(values, "source string, hub_id int")
+    sinks.write_version(rows(("a", 1), ("b", 2), ("c d", 3)), root, "1", partition_by="source")
+    first = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "table" / "versions" / "1").rglob("*.parquet")}
+
+    # the job dies after its data are written and before they are committed
+    commit = sinks._commit
+    monkeypatch.setattr(sinks, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        sinks.write_version(rows(("b", 8), ("b", 9)), root, "2", "source", keep_others=True)
+    assert sorted(map(tuple, sinks.read_version(spark, root).collect())) == [("a", 1), ("b", 2), ("c d", 3)]
+    monkeypatch.setattr(sinks, "_commit", commit)
+
+    # the replay writes the partition of b alone; the others keep their files
+    sinks.write_version(rows(("b", 8)), root, "2", "source", keep_others=True)
+    assert sorted(map(tuple, sinks.read_version(spark, root).collect())) == [("a", 1), ("b", 8), ("c d", 3)]
+    assert [p.name for p in (tmp_path / "table" / "versions" / "2").iterdir() if p.is_dir()] == ["_part=b"]
+    assert first == {str(f): f.stat().st_mtime_ns for f in (tmp_path / "table" / "versions" / "1").rglob("*.parquet")}
+    with pytest.raises(ValueError):
+        sinks.write_version(rows(("b", 7)), root, "2", "source", keep_others=True)
+
+
+def test_batches_of_a_merge_count_once(spark, tmp_path, monkeypatch):
+    from tripweave.streaming import streams
+
+    source, root, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+    first = spark.createDataFrame([("a", 1)], "k string, n int")
+    first.withColumn("n", F.lit(10)).write.parquet(source)
+    add = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("n").cast("int").alias("n"))
+    stream = spark.readStream.schema(first.schema).parquet(source)
+    commit, tried = sinks._commit, []
+
+    def die_once(spark, root, version, parts):
+        if version == "0" and not tried:
+            tried.append(version)
+            raise OSError("lost")
+        commit(spark, root, version, parts)
+
+    monkeypatch.setattr(sinks, "_commit", die_once)
+    with pytest.raises(Exception):
+        streams.merge_into(stream, root, add, first, state).awaitTermination()
+    assert tried and [tuple(r) for r in sinks.read_version(spark, root).collect()] == [("a", 1)]
+    for _ in range(2):  # the replay, and a restart with nothing new
+        streams.merge_into(stream, root, add, first, state).awaitTermination()
+        assert [tuple(r) for r in sinks.read_version(spark, root).collect()] == [("a", 11)]
+
+
+def test_a_captured_source_rewrites_what_it_touches(spark, tmp_path):
+    root = str(tmp_path / "hubs")
+    fields = "hub_id long, name string, lat double, lon double, source string"
+    old = [(1, "Mall", 1.3, 103.8, "old"), (2, "Inn", 1.31, 103.8, "map"), (3, "Hall", 1.35, 103.9, "other/x"), (4, "Shop", 1.4, 103.9, "new")]
+    sinks.write_version(spark.createDataFrame(old, fields), root, "1", partition_by="source")
+    fresh = spark.createDataFrame([(9, "Mall", 1.3001, 103.8, "new")], fields)
+    assert sinks.replace_source_in(root, "2", fresh, "new") == ["new", "old"]
+    # the only row of "old" is superseded, so its folder goes; "map" and "other/x" stay as they were
+    after = {(r.hub_id, r.source) for r in sinks.read_version(spark, root).collect()}
+    assert after == {(9, "new"), (2, "map"), (3, "other/x")}
+    assert [p.name for p in (tmp_path / "hubs" / "versions" / "2").iterdir() if p.is_dir()] == ["_part=new"]

@@ -120,9 +120,9 @@ def _(g):
 @query("sink_replace_source")
 def _(g):
     fresh = incoming(g).withColumn("hub_id", F.col("hub_id") + 1000000000)
-    after = sinks.replace_source(g.hub, fresh, "curated")
     root = f"{checkpoint_root(g.spark)}/catalog-{uuid.uuid4().hex}"
-    sinks.write_version(after, root, "1", partition_by="source")
+    sinks.write_version(g.hub, root, "1", partition_by="source")
+    sinks.replace_source_in(root, "2", fresh, "curated")
     return sinks.read_version(g.spark, root).groupBy("source").agg(F.count("*").alias("hubs"), F.min("hub_id").alias("first_hub"))
 
 

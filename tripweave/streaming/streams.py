@@ -181,20 +181,19 @@ def gap_terms(events: DataFrame, term: Column) -> DataFrame:
 
 
 def merge_into(stream: DataFrame, root: str, merge, first: DataFrame, checkpoint: str):
-    """Apply micro-batches to a versioned table; a batch already applied writes nothing again.
+    """Apply micro-batches to a versioned table, each exactly once.
 
-    The version is the batch number, so a replayed batch finds its own version in place.
+    The table's log is keyed by batch number: a replayed batch that is in the log does nothing,
+    and one that died before its commit starts again from the last version, whatever data it left.
     """
     from ..sources import sinks
 
     spark = stream.sparkSession
-    sinks.write_version(first, root, "start")
+    if not sinks.committed(spark, root, "start"):
+        sinks.write_version(first, root, "start")
 
     def apply(batch: DataFrame, number: int) -> None:
-        path = f"{root}/versions/{number}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
-        if not there:
+        if not sinks.committed(spark, root, str(number)):
             sinks.write_version(merge(sinks.read_version(spark, root), batch), root, str(number))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
