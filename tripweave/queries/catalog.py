@@ -78,21 +78,18 @@ def _compact(c):
 
 
 _amenity, _shop, _cui = "lower(COALESCE(t_amenity,''))", "lower(COALESCE(t_shop,''))", "lower(COALESCE(t_cuisine,''))"
-_tests: dict = {}
-for _table, _value in ((el.AMENITY_CATEGORY, _amenity), (el.SHOP_CATEGORY, _shop)):
-    for _name, _values in _table:
-        _hit = f"{_value} IN ({','.join(repr(v) for v in _values)})"
-        _tests[_name] = f"{_tests[_name]} OR {_hit}" if _name in _tests else _hit
-for _name, _values in el.CUISINE_CATEGORY:
-    _hit = f"list_has_any(string_split(replace({_cui},',',';'),';'), [{','.join(repr(v) for v in _values)}])"
-    _tests[_name] = f"{_tests[_name]} OR {_hit}" if _name in _tests else _hit
-_tests["fried_chicken"] = f"COALESCE(brand_slug IN ({','.join(repr(b) for b in params.FRIED_CHICKEN_BRANDS)}),FALSE) OR contains(words,'fried chicken')"
-_tests["bubble_tea"] = f"contains({_cui},'bubble_tea') OR " + " OR ".join(f"contains(words,'{t}')" for t in params.BUBBLE_TEA_TERMS)
-_picked, _seen = [], set()
-for _name in el.CATEGORY_ORDER:
-    _test = (f"{_amenity}='fast_food'" if "fast_food" not in _seen else _tests["fried_chicken"]) if _name == "fast_food" else _tests[_name]
-    _seen.add(_name)
-    _picked.append(f"CASE WHEN {_test} THEN '{_name}' END")
+_named = {
+    "chicken": f"COALESCE(brand_slug IN ({','.join(repr(b) for b in params.FRIED_CHICKEN_BRANDS)}),FALSE) OR contains(words,'fried chicken')",
+    "tea": f"contains({_cui},'bubble_tea') OR " + " OR ".join(f"contains(words,'{t}')" for t in params.BUBBLE_TEA_TERMS),
+}
+_picked = []
+for _name, _amenities, _shops, _kinds, _extra in el.CATEGORY_RULES:
+    _hits = [f"{_value} IN ({','.join(repr(v) for v in _values)})" for _value, _values in ((_amenity, _amenities), (_shop, _shops)) if _values]
+    if _kinds:
+        _hits.append(f"list_has_any(string_split(replace({_cui},',',';'),';'), [{','.join(repr(v) for v in _kinds)}])")
+    if _extra in _named:
+        _hits.append(_named[_extra])
+    _picked.append(f"CASE WHEN {' OR '.join(_hits)} THEN '{_name}' END")
 define(
     x_branded=f"""SELECT e.*, COALESCE(a.brand_slug,b.brand_slug,c.brand_slug) AS brand_slug, COALESCE(a.brand_name,b.brand_name,c.brand_name) AS brand_name, {_norm('t_name')} || ' ' || {_norm('t_cuisine')} AS words
  FROM x_city e LEFT JOIN b_alias a ON a.alias={_norm('t_brand')} LEFT JOIN b_alias b ON b.alias={_norm('t_operator')} LEFT JOIN b_alias c ON c.alias={_norm('t_name')}""",

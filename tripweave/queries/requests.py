@@ -138,8 +138,8 @@ def _(g):
 _listed = params.values_sql([(t, "service", c) for t, c in params.SERVICE_TERMS] + [(t, "product", c) for t, c in params.PRODUCT_TERMS], "norm, k, hint")
 define(
     x_term_list=_listed, x_food=params.values_sql([(t,) for t in params.FOOD_TERMS], "norm"),
-    x_need=f"""SELECT raw, z.norm, CASE WHEN l.k IS NOT NULL THEN l.k WHEN (regexp_matches(trim(raw),'^[A-Z][A-Za-z''’&.-]*(?:\\s+[A-Z][A-Za-z''’&.-]*){{0,3}}$') OR NOT regexp_matches(trim(raw),'{rq.NOT_A_TITLE}')) AND len(regexp_split_to_array(trim(raw),'\\s+'))<=4 AND f.norm IS NULL THEN 'specific_business' WHEN f.norm IS NOT NULL OR regexp_matches(z.norm,'\\b(?:{'|'.join(params.DISH_WORDS)})\\b') THEN 'dish'
- WHEN regexp_matches(z.norm,'\\b(?:{'|'.join(params.SERVICE_WORDS)})\\b') THEN 'service' WHEN regexp_matches(z.norm,'\\b(?:{'|'.join(params.PRODUCT_WORDS)})\\b') THEN 'product' ELSE 'unknown' END AS need_type, l.hint
+    x_need=f"""SELECT raw, z.norm, CASE WHEN l.k IS NOT NULL THEN l.k WHEN (regexp_matches(trim(raw),'^[A-Z][A-Za-z''’&.-]*(?:\\s+[A-Z][A-Za-z''’&.-]*){{0,3}}$') OR NOT regexp_matches(trim(raw),'{rq.NOT_A_TITLE}')) AND len(regexp_split_to_array(trim(raw),'\\s+'))<=4 AND f.norm IS NULL THEN 'specific_business' WHEN f.norm IS NOT NULL OR regexp_matches(z.norm,'{params.DISH_WORDING}') THEN 'dish'
+ WHEN regexp_matches(z.norm,'{params.SERVICE_WORDING}') THEN 'service' WHEN regexp_matches(z.norm,'{params.PRODUCT_WORDING}') THEN 'product' ELSE 'unknown' END AS need_type, l.hint
  FROM (SELECT raw, {_norm('raw')} AS norm FROM b_need) z LEFT JOIN x_term_list l ON l.norm=z.norm LEFT JOIN x_food f ON f.norm=z.norm""",
     x_typed="SELECT raw, norm, need_type, COALESCE(hint, CASE need_type WHEN 'dish' THEN 'restaurants' WHEN 'service' THEN 'repairs' END) AS category_hint FROM x_need",
     x_concept=params.values_sql(sorted({(a.replace("-", "").replace(" ", ""), s, k, c) for s, k, c, al in params.CONCEPTS for a in al}), "alias_key, concept, kind, category"),
