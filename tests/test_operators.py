@@ -289,3 +289,58 @@ def test_a_captured_source_rewrites_what_it_touches(spark, tmp_path):
     after = {(r.hub_id, r.source) for r in sinks.read_version(spark, root).collect()}
     assert after == {(9, "new"), (2, "map"), (3, "other/x")}
     assert [p.name for p in (tmp_path / "hubs" / "versions" / "2").iterdir() if p.is_dir()] == ["_part=new"]
+
+
+def test_discovery_equals_exhaustive_scan(spark):
+    shops = [
+        (1, "restaurants", None, "Malan Road Food Hall", None, "malan road food hall"), (2, "restaurants", None, "Mala House", None, "mala house"),
+        (3, "electronics", "Gadget", "Tower A", "1 Cable Road", "gadget | electronics | tower a | 1 cable road"), (4, "restaurants", None, "Food Barn", None, "food barn"),
+        (5, "electronics", None, "Phone Accessories", None, "phone accessories"), (6, "bakeries", None, "Mala House", None, "mala house"),
+    ]
+    docs = spark.createDataFrame(
+        [(i, c, b, n, a, b or n, "openstreetmap", d) for i, c, b, n, a, d in shops],
+        "outlet_id long, category string, brand_name string, name string, address string, label string, source string, doc string",
+    )
+    typed = requests.need_types(spark.createDataFrame([("mala", "mala"), ("usb c cable", "usb c cable"), ("zzz", "zzz")], "raw string, norm string"), spark)
+    found = search.discovery(typed, docs, search.postings(docs))
+    got = {(r.norm, r.outlet_id): (list(r.evidence), r.evidence_exact) for r in found.collect()}
+    assert got == {
+        ("mala", 1): (["mala", "food"], True), ("mala", 2): (["mala"], True), ("mala", 4): (["food"], False),
+        ("usb c cable", 3): (["electronics"], False), ("usb c cable", 5): (["phone accessories", "electronics"], False),
+    }
+    assert [r.outlet_id for r in search.discovery_order(found).filter("norm = 'mala'").orderBy("place").collect()] == [1, 2, 4]
+    places = {(r.norm, r.outlet_id): (r.tier, r.suitability, r.relevance) for r in search.need_places(typed, docs, search.postings(docs)).collect()}
+    # A dish needs direct evidence; a hall that only serves food is none, and goods take the category as support.
+    assert ("mala", 4) not in places and places["mala", 2] == ("strong", "business_verified", 1.0)
+    assert places["usb c cable", 5] == ("strong", "category_likely", 1.0)
+
+
+def test_hours_at_both_stops(spark):
+    timed = spark.createDataFrame(
+        [(1, 0, 0.0, 10.0), (1, 1, 8.0, 40.0), (1, 2, 15.0, 90.0), (2, 0, 0.0, 30.0), (2, 1, 5.0, 60.0)], "trip_id long, segment int, dwell_before double, end_min double"
+    )
+    trips = spark.createDataFrame(
+        [(1, datetime(2026, 1, 5, 21, 30), 7, 9), (2, datetime(2026, 1, 4, 23, 50), 7, None)], "trip_id long, departure timestamp, first_stop long, second_stop long"
+    )
+    called = journey.calls(timed, trips)
+    assert sorted((r.trip_id, r.stop_no, r.hub_id, r.arrival, r.dwell_minutes) for r in called.collect()) == [
+        (1, 1, 7, datetime(2026, 1, 5, 21, 40), 8.0), (1, 2, 9, datetime(2026, 1, 5, 22, 10), 15.0), (2, 1, 7, datetime(2026, 1, 5, 0, 20), 5.0),
+    ]
+    shops = spark.createDataFrame(
+        [(7, "groceries", 1, "Mart", "Mo-Fr 09:00-21:45"), (7, "coffee", 2, "Mart", "24/7"), (7, "coffee", 3, "Cup", None), (9, "groceries", 4, "Late", "22:00-02:00")],
+        "hub_id long, errand string, outlet_id long, shop string, opening_hours string",
+    )
+    lines = journey.errand_lines(timetable.open_status(called.join(shops, "hub_id")))
+    got = {(r.trip_id, r.stop_no, r.errand): (r.shop, r.status, r.others) for r in lines.collect()}
+    # The name decides the status: the second Mart is read as the first.
+    assert got == {
+        (1, 1, "groceries"): ("Mart", "closing_soon", 0), (1, 1, "coffee"): ("Mart", "closing_soon", 1), (1, 2, "groceries"): ("Late", "open", 0),
+        (2, 1, "groceries"): ("Mart", "closed", 0), (2, 1, "coffee"): ("Mart", "closed", 1),
+    }
+    notes = {(r.trip_id, r.stop_no): r.note for r in journey.hours_summary(lines).collect()}
+    assert notes[1, 1].startswith("May close before") and notes[1, 2].startswith("Listed open") and notes[2, 1].startswith("Listed closed")
+    mixed = spark.createDataFrame([(1, 1, 7, "a", "B", "unknown", 0, 9), (1, 1, 7, "b", "A", "open", 0, 1), (2, 1, 7, "a", "B", "closed", 0, 9), (2, 1, 7, "b", "A", "closing_soon", 0, 1)],
+        "trip_id long, stop_no int, hub_id long, errand string, shop string, status string, others long, first_outlet long")
+    notes = {r.trip_id: r.note for r in journey.hours_summary(mixed).collect()}
+    assert notes[1].startswith("Hours not confirmed for B ·") and notes[2].startswith("A and B may be closed")
+    assert spark.range(1).select(journey.errand_label(F.lit("bubble_tea")).alias("w")).first().w == "Bubble tea"

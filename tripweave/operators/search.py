@@ -137,6 +137,62 @@ def phrase_hits(phrases: DataFrame, documents: DataFrame, posting_rows: DataFram
     ).drop("token")
 
 
+def discovery(needs: DataFrame, documents: DataFrame, posting_rows: DataFrame) -> DataFrame:
+    """Outlets that hold any of the terms of a need, with the terms they show.
+
+    needs: norm, category_hint, terms (normalised, most telling first). A term matches the
+    search text as a phrase; ``evidence`` lists, in their order, the terms that also stand in
+    what a traveller reads of the outlet. Aliases are matched but not read. A hint limits the
+    outlets to its category, and joins on it, so a term as common as "food" meets that category only.
+    """
+    asked = needs.select("norm", "category_hint", "terms").distinct()
+    words = asked.select("norm", "category_hint", "terms", F.explode("terms").alias("phrase"))
+    hits = phrase_hits(words.select("phrase").distinct(), documents, posting_rows)
+    hinted = words.filter("category_hint IS NOT NULL").join(hits.withColumn("category_hint", F.col("category")), ["phrase", "category_hint"])
+    free = words.filter("category_hint IS NULL").join(hits, "phrase")
+    found = hinted.unionByName(free).drop("phrase").dropDuplicates(["norm", "category_hint", "outlet_id"])
+    shown = F.lower(F.concat_ws(" | ", "label", "brand_name", "name", "address", "source", "category"))
+    rows = found.withColumn("shown", shown).withColumn("evidence", F.filter("terms", lambda t: F.contains(F.col("shown"), t)))
+    return rows.withColumn("evidence_exact", F.contains("shown", F.col("terms")[0])).drop("shown")
+
+
+def discovery_order(found: DataFrame, limit: int = 20) -> DataFrame:
+    """The first ``limit`` outlets of a need by name, those that show its first term ahead, then more evidence."""
+    need = ["norm", "category_hint"]
+    named = F.row_number().over(Window.partitionBy(*need).orderBy("label", "outlet_id"))
+    rows = found.withColumn("n", named).filter(F.col("n") <= max(1, min(limit, 50))).drop("n")
+    order = [F.when(F.col("evidence_exact"), 0).otherwise(1), -F.size("evidence"), F.lower("label"), "outlet_id"]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*need).orderBy(*order)))
+
+
+def need_places(needs: DataFrame, documents: DataFrame, posting_rows: DataFrame) -> DataFrame:
+    """Places for open needs with tier, suitability and relevance.
+
+    needs: norm, need_type, category_hint, terms, place_type. A place is direct if its name,
+    evidence or category holds a term that says more than the category, the kind of place or,
+    of a dish, the word for all dishes. Dishes, named businesses and unknown needs take direct
+    places only; others take the rest of the category as supported.
+    """
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    dish = F.col("need_type") == "dish"
+    generic = F.when(dish, F.try_element_at("terms", F.lit(2)))
+    broad = F.array_compact(F.array(bare(F.coalesce("category_hint", F.lit(""))), bare(F.col("place_type")), bare(generic)))
+    source = F.when(dish, F.slice("terms", 1, 2)).otherwise(F.col("terms"))
+    kinds = needs.select("norm", "need_type", "category_hint", "terms", "place_type").distinct().withColumn("broad", broad)
+    kinds = kinds.withColumn("direct_terms", F.filter(source, lambda t: (F.length(bare(t)) >= 3) & ~F.array_contains(F.col("broad"), bare(t))))
+    found = discovery(kinds, documents, posting_rows).withColumn("hint", F.coalesce("category_hint", F.lit(""))).drop("terms", "category_hint")
+    kinds = kinds.withColumn("hint", F.coalesce("category_hint", F.lit(""))).select("norm", "hint", "need_type", "direct_terms")
+    rows = found.join(kinds, ["norm", "hint"])
+    read = text.normalize(F.concat_ws(" ", "label", F.concat_ws(" ", "evidence"), "category"))
+    rows = rows.withColumn("read", read).withColumn("direct", F.exists("direct_terms", lambda t: text.contains_phrase(F.col("read"), t)))
+    rows = rows.filter(F.col("direct") | F.col("need_type").isin("product", "service"))
+    return rows.select(
+        "norm", "need_type", "outlet_id", F.when(F.col("direct"), "strong").otherwise("supported").alias("tier"),
+        F.when(F.col("need_type") == "dish", "business_verified").otherwise("category_likely").alias("suitability"),
+        F.when(F.col("direct"), 1.0).otherwise(0.7).alias("relevance"),
+    )
+
+
 # --- fuzzy ----------------------------------------------------------------------
 
 

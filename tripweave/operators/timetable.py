@@ -170,7 +170,7 @@ def open_status(visits: DataFrame) -> DataFrame:
     parsed = parse_hours(visits)
     rows = visits.join(parsed, F.col("opening_hours") == F.col("hours"), "left")
     day = F.weekday("arrival")
-    minute = F.hour("arrival") * 60 + F.minute("arrival") + F.second("arrival") / 60.0
+    minute = F.hour("arrival") * 60 + F.minute("arrival") + F.extract(F.lit("SECOND"), "arrival").cast("double") / 60.0
 
     def holding(offset: int) -> Column:
         at = minute + 1440 * offset

@@ -135,13 +135,13 @@ def _(g):
     return g.request.join(rq.validated(found(g), g.category, sold), "text").select("request_id", "category", "brand_slug", "problem")
 
 
-_listed = params.values_sql([(t, "service", c) for t, c in params.SERVICE_TERMS] + [(t, "product", c) for t, c in params.PRODUCT_TERMS], "norm, k, hint")
+_listed = params.values_sql([(t, "service", c, w) for t, c, w in params.SERVICE_TERMS] + [(t, "product", c, w) for t, c, w in params.PRODUCT_TERMS], "norm, k, hint, extra")
 define(
     x_term_list=_listed, x_food=params.values_sql([(t,) for t in params.FOOD_TERMS], "norm"),
     x_need=f"""SELECT raw, z.norm, CASE WHEN l.k IS NOT NULL THEN l.k WHEN (regexp_matches(trim(raw),'^[A-Z][A-Za-z''’&.-]*(?:\\s+[A-Z][A-Za-z''’&.-]*){{0,3}}$') OR NOT regexp_matches(trim(raw),'{rq.NOT_A_TITLE}')) AND len(regexp_split_to_array(trim(raw),'\\s+'))<=4 AND f.norm IS NULL THEN 'specific_business' WHEN f.norm IS NOT NULL OR regexp_matches(z.norm,'{params.DISH_WORDING}') THEN 'dish'
- WHEN regexp_matches(z.norm,'{params.SERVICE_WORDING}') THEN 'service' WHEN regexp_matches(z.norm,'{params.PRODUCT_WORDING}') THEN 'product' ELSE 'unknown' END AS need_type, l.hint
+ WHEN regexp_matches(z.norm,'{params.SERVICE_WORDING}') THEN 'service' WHEN regexp_matches(z.norm,'{params.PRODUCT_WORDING}') THEN 'product' ELSE 'unknown' END AS need_type, l.hint, l.extra
  FROM (SELECT raw, {_norm('raw')} AS norm FROM b_need) z LEFT JOIN x_term_list l ON l.norm=z.norm LEFT JOIN x_food f ON f.norm=z.norm""",
-    x_typed="SELECT raw, norm, need_type, COALESCE(hint, CASE need_type WHEN 'dish' THEN 'restaurants' WHEN 'service' THEN 'repairs' END) AS category_hint FROM x_need",
+    x_typed="SELECT raw, norm, need_type, COALESCE(hint, CASE need_type WHEN 'dish' THEN 'restaurants' WHEN 'service' THEN 'repairs' END) AS category_hint, hint, extra FROM x_need",
     x_concept=params.values_sql(sorted({(a.replace("-", "").replace(" ", ""), s, k, c) for s, k, c, al in params.CONCEPTS for a in al}), "alias_key, concept, kind, category"),
     x_concept_sim=f"SELECT norm, concept, 1-levenshtein(replace(norm,' ',''),alias_key)*1e0/GREATEST(length(replace(norm,' ','')),length(alias_key)) AS s FROM (SELECT DISTINCT norm FROM x_typed) n, x_concept",
 )
@@ -169,16 +169,38 @@ def _(g):
 
 
 define(
-    x_need_hit="""SELECT DISTINCT t.norm, t.need_type, t.category_hint, d.outlet_id, d.label, c.slug AS category, contains(' ' || d.doc || ' ', ' ' || t.norm || ' ') AS direct FROM (SELECT DISTINCT norm, need_type, category_hint FROM x_typed) t JOIN x_document d ON contains(' ' || d.doc || ' ', ' ' || t.norm || ' ') JOIN b_category c ON c.category_idx=d.category_idx WHERE t.category_hint IS NULL OR t.category_hint=c.slug""",
+    x_need_words="""SELECT norm, need_type, category_hint, CASE need_type WHEN 'dish' THEN 'restaurant' WHEN 'service' THEN COALESCE(extra,'service') WHEN 'product' THEN COALESCE(hint,'shop') ELSE 'place' END AS place_type,
+ list_filter(terms, lambda v, i: v<>'' AND list_position(terms, v)=i) AS terms FROM (SELECT DISTINCT norm, need_type, category_hint, hint, extra, CASE WHEN need_type='dish' THEN [norm,'food'] WHEN need_type='service' THEN [norm, replace(COALESCE(extra,'service'),'_',' ')] WHEN need_type='product' AND extra IS NOT NULL THEN [norm, extra, replace(hint,'_',' ')] ELSE [norm] END AS terms FROM x_typed) z""",
+    x_need_shown="""SELECT z.*, list_filter(terms, lambda t: contains(shown, t)) AS evidence, contains(shown, terms[1]) AS evidence_exact FROM (SELECT n.*, d.outlet_id, d.label, d.category, lower(concat_ws(' | ', d.label, d.brand_name, d.name, d.address, d.source, d.category)) AS shown
+ FROM x_need_words n JOIN x_document d ON (n.category_hint IS NULL OR n.category_hint=d.category) AND len(list_filter(n.terms, lambda t: contains(' ' || d.doc || ' ', ' ' || t || ' ')))>0) z""",
+    x_need_tier="""SELECT *, len(list_filter(CASE WHEN need_type='dish' THEN terms[1:2] ELSE terms END, lambda t: length(replace(t,' ',''))>=3 AND replace(t,' ','')<>replace(COALESCE(category_hint,''),'_','') AND replace(t,' ','')<>replace(place_type,'_','')
+ AND (need_type<>'dish' OR replace(t,' ','')<>replace(terms[2],' ','')) AND contains(' ' || read || ' ', ' ' || t || ' ')))>0 AS direct FROM (SELECT *, trim(regexp_replace(lower(label || ' ' || array_to_string(evidence,' ') || ' ' || category),'[^a-z0-9]+',' ','g')) AS read FROM x_need_shown) z""",
 )
 
 
-@query("text_need_places", "SELECT norm, need_type, outlet_id, CASE WHEN direct THEN 'strong' ELSE 'supported' END AS tier, CASE WHEN need_type='dish' THEN 'business_verified' ELSE 'category_likely' END AS suitability, CASE WHEN direct THEN 1e0 ELSE 0.7e0 END AS relevance FROM x_need_hit")
+def typed_needs(g):
+    return rq.need_types(needs(g), g.spark).select("norm", "need_type", "category_hint", "terms", "place_type").distinct()
+
+
+def all_postings(g):
+    return g.keep("postings", lambda: search.postings(documents(g)))
+
+
+@query("join_text_postings", "SELECT DISTINCT norm, category_hint, outlet_id, array_to_string(evidence,'|') AS evidence, evidence_exact FROM x_need_shown")
+def _(g):
+    rows = search.discovery(typed_needs(g), documents(g), all_postings(g))
+    return rows.select("norm", "category_hint", "outlet_id", F.array_join("evidence", "|").alias("evidence"), "evidence_exact")
+
+
+@query("top_discovery", """SELECT norm, category_hint, outlet_id, CAST(ROW_NUMBER() OVER (PARTITION BY norm, category_hint ORDER BY CASE WHEN evidence_exact THEN 0 ELSE 1 END, -len(evidence), lower(label), outlet_id) AS INTEGER) AS place
+ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY norm, category_hint ORDER BY label, outlet_id) AS n FROM (SELECT DISTINCT norm, category_hint, outlet_id, label, evidence, evidence_exact FROM x_need_shown) f) z WHERE n<=20""")
+def _(g):
+    return search.discovery_order(search.discovery(typed_needs(g), documents(g), all_postings(g))).select("norm", "category_hint", "outlet_id", "place")
+
+
+@query("text_need_places", "SELECT DISTINCT norm, need_type, outlet_id, CASE WHEN direct THEN 'strong' ELSE 'supported' END AS tier, CASE WHEN need_type='dish' THEN 'business_verified' ELSE 'category_likely' END AS suitability, CASE WHEN direct THEN 1e0 ELSE 0.7e0 END AS relevance FROM x_need_tier WHERE direct OR need_type IN ('product','service')")
 def _(g):
-    typed = rq.need_types(needs(g), g.spark).select("norm", "need_type", "category_hint").distinct()
-    hits = search.phrase_hits(typed.select(F.col("norm").alias("phrase")).distinct(), documents(g), search.postings(documents(g)))
-    rows = typed.join(hits, typed.norm == hits.phrase).filter("category_hint IS NULL OR category_hint = category")
-    return rows.select("norm", "need_type", "outlet_id", F.lit("strong").alias("tier"), F.when(F.col("need_type") == "dish", "business_verified").otherwise("category_likely").alias("suitability"), F.lit(1.0).alias("relevance")).distinct()
+    return search.need_places(typed_needs(g), documents(g), all_postings(g)).distinct()
 
 
 @query("text_fallbacks", "SELECT trip_id, search_no, c1, c2, brand1, match_class FROM x_variant")

@@ -73,7 +73,7 @@ def _(g):
 
 
 define(
-    x_document=f"""SELECT s.outlet_id, s.category_idx, COALESCE(b.brand_name, s.name) AS label, s.lat, s.lon, {_norm('b.brand_name')} || ' | ' || replace(c.slug,'_',' ') || ' | ' || {_norm('s.name')} || ' | ' || {_norm('s.address')} || ' | ' || COALESCE((SELECT string_agg(alias, ' | ' ORDER BY alias) FROM b_alias a WHERE a.brand_slug=b.slug),'') AS doc
+    x_document=f"""SELECT s.outlet_id, s.category_idx, COALESCE(b.brand_name, s.name) AS label, b.brand_name, s.name, s.address, s.source, c.slug AS category, s.lat, s.lon, {_norm('b.brand_name')} || ' | ' || replace(c.slug,'_',' ') || ' | ' || {_norm('s.name')} || ' | ' || {_norm('s.address')} || ' | ' || COALESCE((SELECT string_agg(alias, ' | ' ORDER BY alias) FROM b_alias a WHERE a.brand_slug=b.slug),'') AS doc
  FROM x_shop s LEFT JOIN b_brand b ON b.brand_idx=s.brand_idx JOIN b_category c ON c.category_idx=s.category_idx""",
     x_phrase=f"SELECT DISTINCT {_norm('q')} AS phrase FROM b_query WHERE {_norm('q')}<>'' UNION SELECT alias FROM b_alias",
     x_phrase_hit="SELECT phrase, outlet_id, label, category_idx, lat, lon FROM x_phrase JOIN x_document ON contains(' ' || doc || ' ', ' ' || phrase || ' ')",
@@ -89,11 +89,6 @@ def _(g):
     return search.postings(documents(g))
 
 
-@query("join_text_postings", "SELECT phrase, outlet_id FROM x_phrase_hit")
-def _(g):
-    return search.phrase_hits(phrases(g), documents(g), search.postings(documents(g))).select("phrase", "outlet_id")
-
-
 @query("join_postal", """SELECT code, ROUND(COALESCE(lat, s_lat),6) AS lat, ROUND(COALESCE(lon, s_lon),6) AS lon, lat IS NULL AS approximate FROM b_code c LEFT JOIN (SELECT regexp_extract(address,'Singapore ([0-9]{6})$',1) AS k, arg_min(lat,hub_id) AS lat, arg_min(lon,hub_id) AS lon FROM b_hub WHERE regexp_matches(address,'Singapore [0-9]{6}$') GROUP BY 1) e ON e.k=c.code
  LEFT JOIN (SELECT substr(regexp_extract(address,'Singapore ([0-9]{6})$',1),1,2) AS s, AVG(lat) AS s_lat, AVG(lon) AS s_lon FROM b_hub WHERE regexp_matches(address,'Singapore [0-9]{6}$') GROUP BY 1) x ON x.s=substr(c.code,1,2) WHERE lat IS NOT NULL OR s_lat IS NOT NULL""")
 def _(g):

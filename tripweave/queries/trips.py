@@ -27,7 +27,7 @@ def trip_table(g):
     """The trips binding in the planner's columns."""
     no_more = F.col("transfer_tolerance") == "no_extra"
     return g.trip.select(
-        "trip_id", F.col("departure").cast("timestamp").alias("departure"), "o_lat", "o_lon", "d_lat", "d_lon", "category_1", "category_2",
+        "trip_id", (F.col("departure").cast("timestamp") + F.make_dt_interval(mins=F.col("departure_minute").cast("int"))).alias("departure"), "o_lat", "o_lon", "d_lat", "d_lon", "category_1", "category_2",
         F.col("exact_brand_idx").alias("exact_brand_1"), F.lit(None).cast("bigint").alias("exact_brand_2"),
         F.when(F.col("preferred_brand_idx").isNotNull(), F.col("category_1")).alias("preferred_category"),
         F.col("preferred_brand_idx").alias("preferred_brand"), "max_detour_minutes", "max_detour_is_hard",

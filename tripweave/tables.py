@@ -72,7 +72,7 @@ SELECT 'bus:' || CAST(s_suppkey AS STRING), 'Opp ' || s_name, 'bus_stop',
 FROM supplier
 """,
     "b_trip": """
-SELECT o_orderkey AS trip_id, o_orderdate AS departure,
+SELECT o_orderkey AS trip_id, o_orderdate AS departure, (o_orderkey * 37 + o_custkey * 11) % 1440 AS departure_minute,
        1.22e0 + ((o_custkey * 4871) % 2500) / 1e4 AS o_lat,
        103.62e0 + ((o_custkey * 9973) % 4600) / 1e4 AS o_lon,
        1.22e0 + ((o_custkey * 13 + o_orderkey * 7) % 2500) / 1e4 AS d_lat,
