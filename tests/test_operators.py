@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave.functions import clock, geo, text
-from tripweave.operators import candidates, catalog, foci, journey, rank, requests, search, spatial, timetable
+from tripweave.operators import candidates, catalog, foci, journey, rank, requests, search, spatial, timetable, usage
 from tripweave.sources import elements, feeds, sinks
 
 
@@ -344,3 +344,39 @@ def test_hours_at_both_stops(spark):
     notes = {r.trip_id: r.note for r in journey.hours_summary(mixed).collect()}
     assert notes[1].startswith("Hours not confirmed for B ·") and notes[2].startswith("A and B may be closed")
     assert spark.range(1).select(journey.errand_label(F.lit("bubble_tea")).alias("w")).first().w == "Bubble tea"
+
+
+def test_latency_ranks_equal_a_sorted_list(spark):
+    rng = random.Random(5)
+    for values in ([rng.lognormvariate(6, 2) for _ in range(500)] + [7.0] * 300 + [0.0, -1.5, 1e12], [3.25], [5.0, 5.0 + 1e-9, 5.0 + 2e-9]):
+        seen = usage.facts(spark.createDataFrame([("optimization_completed", v) for v in values], "event_type string, latency_ms double"), "latency")
+        got = {(r.rule, r.quantile): r.latency_ms for r in usage.latency_percentiles(seen).collect()}
+        ranked, n = sorted(values), len(values)
+        for q in (0.5, 0.95):
+            low = math.floor((n - 1) * q)
+            share = (n - 1) * q - low
+            want = {
+                "nearest_rank": ranked[min(n - 1, math.floor((n - 1) * q + 0.999999))], "scaled_count": ranked[min(n - 1, math.floor(n * q))],
+                "scaled_span": ranked[low], "linear": ranked[low] * (1 - share) + ranked[min(n - 1, low + 1)] * share,
+            }
+            for rule, value in want.items():
+                assert got[rule, q] == pytest.approx(value, abs=0.006)
+
+
+def test_usage_report_reads_events_once(spark):
+    rows = [
+        (1, "2026-01-01 10:00:00", 1, 10, "search_started", None, None, None, None), (2, "2026-01-01 10:01:00", 1, 10, "optimization_completed", None, 100.0, None, None),
+        (3, "2026-01-05 09:00:00", 1, 10, "recommendation_selected", 1, None, None, None), (4, "2026-01-09 09:00:00", 2, 11, "search_started", None, None, None, None),
+        (5, "2026-01-09 09:00:00", 2, 11, "search_started", None, None, None, None), (6, "2026-01-09 09:00:00", None, None, "feedback_submitted", None, None, "positive", ""),
+    ]
+    events = spark.createDataFrame(
+        [(a, datetime.fromisoformat(b), *rest) for a, b, *rest in rows],
+        "event_id long, occurred_at timestamp, user_id long, search_id long, event_type string, recommendation_rank int, latency_ms double, feedback_value string, feedback_reason string",
+    )
+    seen = usage.facts(events)
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    row = usage.usage_report(seen).first()
+    assert (row.searches, row.completion_rate, row.rank_one_acceptance_rate, row.positive_feedback, row.median_latency_ms) == (2, 0.5, 1.0, 1, 100.0)
+    assert (row.today, row.unique_anonymous_users, row.active_users_one_day, row.active_users_seven_day, row.returning_users) == ("2026-01-09", 3, 2, 3, 1)
+    empty = usage.usage_report(usage.facts(events.limit(0))).first()
+    assert empty.searches == 0 and empty.median_latency_ms is None and empty.unique_anonymous_users == 0

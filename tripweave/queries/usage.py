@@ -55,48 +55,48 @@ define(
 
 @query("agg_event_counts", "SELECT event_type, COUNT(*) AS n FROM b_event GROUP BY event_type")
 def _(g):
-    return usage.event_counts(g.event)
+    return usage.event_counts(usage.facts(g.event, "type"))
 
 
 @query("agg_search_rates", "SELECT * FROM x_search_rates")
 def _(g):
-    return usage.search_rates(g.event)
+    return usage.search_rates(usage.facts(g.event, "type", "search"))
 
 
 @query("agg_selection_rates", "SELECT * FROM x_selection_rates")
 def _(g):
-    return usage.selection_rates(g.event)
+    return usage.selection_rates(usage.facts(g.event, "type", "search"))
 
 
 @query("agg_feedback", "SELECT * FROM x_feedback")
 def _(g):
-    return usage.feedback(g.event)
+    return usage.feedback(usage.facts(g.event, "value", "reason"))
 
 
 @query("agg_latency_percentiles", "SELECT * FROM x_latency")
 def _(g):
-    return usage.latency_percentiles(g.event)
+    return usage.latency_percentiles(usage.facts(g.event, "latency"))
 
 
 @query("agg_active_users", "SELECT * FROM x_active")
 def _(g):
-    return usage.active_users(g.event)
+    return usage.active_users(usage.facts(g.event, "user"))
 
 
 @query("agg_returning_users", "SELECT * FROM x_returning")
 def _(g):
-    return usage.returning_users(g.event)
+    return usage.returning_users(usage.facts(g.event, "user"))
 
 
 @query("agg_usage_report", "SELECT * FROM x_report")
 def _(g):
-    return usage.usage_report(g.event)
+    return usage.usage_report(g.keep("usage facts", lambda: usage.facts(g.event)))
 
 
 @query("pipe_usage", "SELECT * FROM x_report")
 def _(g):
     accepted = usage.split_by_contract(g.event).filter("reject_reason IS NULL")
-    return usage.usage_report(accepted)
+    return usage.usage_report(g.keep("accepted usage facts", lambda: usage.facts(accepted)))
 
 
 @query(
