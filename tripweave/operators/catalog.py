@@ -266,7 +266,7 @@ def brand_catalog(brands: DataFrame, aliases: DataFrame, outlets: DataFrame, cat
     )
 
 
-def stats(outlets: DataFrame, hubs: DataFrame, nodes: DataFrame, stops: DataFrame, routes: DataFrame) -> DataFrame:
+def stats(outlets: DataFrame, hubs: DataFrame, nodes: DataFrame, stops: DataFrame, routes: DataFrame, logos: DataFrame) -> DataFrame:
     """Counts over the catalog in one row; one aggregate per table."""
     from .usage import one_row
 
@@ -280,7 +280,8 @@ def stats(outlets: DataFrame, hubs: DataFrame, nodes: DataFrame, stops: DataFram
     )
     places = hubs.agg(F.count("*").alias("hubs"), F.count_if(F.col("semantic_type") == "mall").alias("malls"))
     return one_row(
-        shops, places, nodes.agg(F.count("*").alias("transport_nodes")), stops.agg(F.count("*").alias("stops")), routes.agg(F.count("*").alias("route_rows"))
+        shops, places, nodes.agg(F.count("*").alias("transport_nodes")), stops.agg(F.count("*").alias("stops")), routes.agg(F.count("*").alias("route_rows")),
+        logos.agg(F.count("*").alias("logos")),
     )
 
 

@@ -9,8 +9,11 @@ from ..functions import geo
 from . import spatial
 
 
-def rail_edges(stations: DataFrame, interchange: str = "ordinal = 3") -> DataFrame:
-    """Neighbours along each line plus walks between interchange stations, both ways."""
+def rail_edges(stations: DataFrame) -> DataFrame:
+    """Neighbours along each line plus walks between stations of one interchange, both ways.
+
+    ``interchange`` names the group a station belongs to; null is none.
+    """
     along = Window.partitionBy("line").orderBy("ordinal")
     after = stations.select(
         F.col("station_id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"),
@@ -22,10 +25,10 @@ def rail_edges(stations: DataFrame, interchange: str = "ordinal = 3") -> DataFra
         + params.STOP_DWELL_MIN
     )
     rides = after.select("a", "b", minutes.alias("minutes"), F.lit(False).alias("is_transfer"))
-    hubs = stations.filter(interchange).select(F.lit(1).alias("city"), "station_id")
+    hubs = stations.filter("interchange IS NOT NULL").select("interchange", "station_id")
     walks = (
         hubs.withColumnRenamed("station_id", "a")
-        .join(hubs.withColumnRenamed("station_id", "b"), "city")
+        .join(hubs.withColumnRenamed("station_id", "b"), "interchange")
         .filter("a < b")
         .select("a", "b", F.lit(params.TRANSFER_MIN).alias("minutes"), F.lit(True).alias("is_transfer"))
     )

@@ -351,11 +351,12 @@ def _(g):
 
 @query("agg_catalog_stats", """SELECT (SELECT COUNT(*) FROM b_outlet) AS outlets, (SELECT COUNT(*) FROM x_open_outlet) AS active_outlets, (SELECT COUNT(DISTINCT brand_idx) FROM b_outlet) AS brands, (SELECT COUNT(DISTINCT category_idx) FROM b_outlet) AS categories,
  (SELECT COUNT(*) FROM b_hub) AS hubs, (SELECT COUNT(*) FROM b_hub WHERE semantic_type='mall') AS malls, (SELECT COUNT(*) FROM b_node) AS transport_nodes, (SELECT COUNT(*) FROM b_outlet WHERE opening_hours IS NOT NULL AND opening_hours<>'') AS known_hours,
- (SELECT COUNT(*) FROM b_outlet WHERE closure_status='closed') AS closed_outlets, (SELECT COUNT(*) FROM x_stop) AS stops, (SELECT COUNT(*) FROM x_route) AS route_rows""")
+ (SELECT COUNT(*) FROM b_outlet WHERE closure_status='closed') AS closed_outlets, (SELECT COUNT(*) FROM x_stop) AS stops, (SELECT COUNT(*) FROM x_route) AS route_rows, (SELECT COUNT(*) FROM x_logo) AS logos""")
 def _(g):
     from ..operators import timetable
+    from ..sources import sinks
 
-    return catalog.stats(g.outlet, g.hub, g.node, timetable.stops(g.raw_stop), timetable.routes(g.bus_route))
+    return catalog.stats(g.outlet, g.hub, g.node, timetable.stops(g.raw_stop), timetable.routes(g.bus_route), sinks.merge_logos(g.logo_old, g.logo_new))
 
 
 @query("prj_hub_label", """SELECT h.hub_id, CASE WHEN h.semantic_type='standalone' AND h.source='openstreetmap' THEN COALESCE(s.first_store, h.name) ELSE h.name END AS label, FALSE AS leaks FROM b_hub h LEFT JOIN (

@@ -100,7 +100,10 @@ BINDINGS["b_logo_old"] = "SELECT 'Q' || CAST(p_partkey AS STRING) AS brand_key,
 BINDINGS["b_logo_new"] = "SELECT 'Q' || CAST(p_partkey AS STRING) AS brand_key, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'new/' || CAST(p_partkey AS STRING) END AS url FROM part WHERE p_size < 30"
 
 
-@query("sink_merge_logos", "SELECT COALESCE(n.brand_key,o.brand_key) AS brand_key, CASE WHEN n.brand_key IS NOT NULL THEN n.url ELSE o.url END AS url FROM b_logo_old o FULL JOIN b_logo_new n ON n.brand_key=o.brand_key WHERE CASE WHEN n.brand_key IS NOT NULL THEN n.url ELSE o.url END IS NOT NULL")
+define(x_logo="SELECT COALESCE(n.brand_key,o.brand_key) AS brand_key, CASE WHEN n.brand_key IS NOT NULL THEN n.url ELSE o.url END AS url FROM b_logo_old o FULL JOIN b_logo_new n ON n.brand_key=o.brand_key WHERE CASE WHEN n.brand_key IS NOT NULL THEN n.url ELSE o.url END IS NOT NULL")
+
+
+@query("sink_merge_logos", "SELECT * FROM x_logo")
 def _(g):
     return sinks.merge_logos(g.logo_old, g.logo_new)
 

@@ -58,7 +58,7 @@ define(
  n.nearest_node, n.node_m FROM b_hub h JOIN x_nearest n ON n.hub_id=h.hub_id WHERE h.closure_status<>'closed' AND h.hub_id IN (SELECT hub_id FROM x_open_outlet)""",
     x_edge1=f"""SELECT a, b, {H('la','lo','lb','lp')}*1.15e0/40*60+0.5e0 AS minutes, FALSE AS is_transfer FROM (
  SELECT station_id AS a, lat AS la, lon AS lo, LEAD(station_id) OVER w AS b, LEAD(lat) OVER w AS lb, LEAD(lon) OVER w AS lp FROM b_station WINDOW w AS (PARTITION BY line ORDER BY ordinal)) e WHERE b IS NOT NULL
- UNION ALL SELECT x.station_id, y.station_id, 4e0, TRUE FROM b_station x JOIN b_station y ON x.ordinal=3 AND y.ordinal=3 AND x.station_id<y.station_id""",
+ UNION ALL SELECT x.station_id, y.station_id, 4e0, TRUE FROM b_station x JOIN b_station y ON x.interchange=y.interchange AND x.station_id<y.station_id""",
     x_edge="SELECT a, b, minutes, is_transfer FROM x_edge1 UNION ALL SELECT b, a, minutes, is_transfer FROM x_edge1",
     x_walk="""SELECT station_id AS s, station_id AS t, 0e0 AS minutes, [station_id] AS path FROM b_station
  UNION ALL SELECT w.s, e.b, w.minutes+e.minutes, list_append(w.path, e.b) FROM x_walk w JOIN x_edge e ON e.a=w.t WHERE NOT list_contains(w.path, e.b)""",

@@ -57,6 +57,7 @@ GROUP BY l_partkey, l_returnflag
     "b_station": """
 SELECT n_nationkey AS station_id, 'L' || CAST(n_regionkey AS STRING) AS line,
        ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ordinal, n_name AS name,
+       CASE WHEN ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 3 THEN 'centre' END AS interchange,
        1.24e0 + n_regionkey * 0.04e0 + (n_nationkey % 5) * 0.005e0 AS lat,
        103.66e0 + ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) * 0.06e0 AS lon
 FROM nation
