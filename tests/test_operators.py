@@ -278,6 +278,33 @@ def test_batches_of_a_merge_count_once(spark, tmp_path, monkeypatch):
         assert [tuple(r) for r in sinks.read_version(spark, root).collect()] == [("a", 11)]
 
 
+def test_top_terms_of_growing_counts(spark):
+    import random
+
+    from tripweave.streaming import streams
+
+    pick, counts = random.Random(5), {}
+    top = spark.createDataFrame([], "day int, term string, n long")
+    for _ in range(6):
+        seen = [(pick.randrange(2), pick.choice("abcdefghij")) for _ in range(8)]
+        for key in seen:
+            counts[key] = counts.get(key, 0) + 1
+        batch = spark.createDataFrame([(*key, counts[key]) for key in set(seen)], top.schema)
+        top = streams.keep_top(top, batch, 3)
+        rows = [tuple(r) for r in top.collect()]
+        top = spark.createDataFrame(rows, top.schema)
+        want = [(d, t, n) for day in (0, 1) for n, t, d in sorted(((n, t, d) for (d, t), n in counts.items() if d == day), key=lambda x: (-x[0], x[1]))[:3]]
+        assert sorted(rows) == sorted(want)
+
+
+def test_a_batch_replaces_rows_with_its_keys(spark):
+    from tripweave.streaming import streams
+
+    fields = "k string, n int"
+    table, batch = spark.createDataFrame([("a", 1), (None, 2), ("c", 3)], fields), spark.createDataFrame([(None, 9), ("d", 4)], fields)
+    assert {tuple(r) for r in streams.replace_keys(table, batch, ("k",)).collect()} == {("a", 1), (None, 9), ("c", 3), ("d", 4)}
+
+
 def test_a_captured_source_rewrites_what_it_touches(spark, tmp_path):
     root = str(tmp_path / "hubs")
     fields = "hub_id long, name string, lat double, lon double, source string"

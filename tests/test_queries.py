@@ -16,6 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = (
     "agg_usage_report", "agg_latency_percentiles", "src_bus_routes", "join_arrival_operation", "join_nearest_node", "prj_categories",
     "win_outlet_dedupe", "join_corridor", "pipe_candidates", "pipe_plan", "agg_funnel", "text_entities", "top_catalog_search",
+    "stream_event_ingest", "stream_sessions", "stream_search_outcome", "stream_search_funnel", "stream_arrival_latest", "stream_gap_terms",
 )
 
 

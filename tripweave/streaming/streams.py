@@ -7,15 +7,13 @@ needs one.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import params
 from ..functions import clock
 from ..operators import usage
 from ..operators.timetable import CLOCK_FIELDS
+from ..session import store
 
 
 def file_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -57,19 +55,27 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     )
 
 
+def once(events: DataFrame, column: str = "occurred_at", late: str = "1 hour") -> DataFrame:
+    """Each event once: a repeat that comes within the watermark delay is dropped inside the stream."""
+    return timed(events, column, late).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def search_outcome(events: DataFrame, other: DataFrame, seconds: int = params.SEARCH_TIMEOUT_S) -> DataFrame:
-    """Started searches with their completion inside the limit, else timed out.
+    """One row per started search: completed inside the limit, else timed out.
 
     ``other`` is the same source read again: a stream joins a stream with a watermark on
-    each side and a time range, so state is dropped as soon as no match can come.
+    each side and a time range, so state is dropped as soon as no match can come. A search with
+    several completions meets each of them; they collapse in the stream, as soon as the
+    watermark has passed the start.
     """
-    started = timed(events, late="1 hour").filter("event_type = 'search_started'").select("event_id", "search_id", F.col("occurred_at").alias("started_at"))
+    started = once(events).filter("event_type = 'search_started' AND search_id IS NOT NULL").select("event_id", "search_id", F.col("occurred_at").alias("started_at"))
     done = other.withColumn("completed_at", F.col("occurred_at").cast("timestamp")).withWatermark("completed_at", "1 hour").filter(
         "event_type = 'optimization_completed'"
     ).select(F.col("search_id").alias("done_id"), "completed_at")
     inside = F.expr(f"search_id = done_id AND completed_at BETWEEN started_at AND started_at + INTERVAL {seconds} SECONDS")
-    return started.join(done, inside, "left_outer").select(
-        "event_id", "search_id", F.when(F.col("completed_at").isNull(), "timed_out").otherwise("completed").alias("outcome")
+    met = started.join(done, inside, "left_outer")
+    return met.groupBy("started_at", "event_id", "search_id").agg(F.count("done_id").alias("n")).select(
+        "event_id", "search_id", F.when(F.col("n") > 0, "completed").otherwise("timed_out").alias("outcome")
     )
 
 
@@ -79,88 +85,41 @@ STAGE_RANK = (
 )
 
 
-class FurthestStage(StatefulProcessor):
-    """Furthest stage per search, forgotten when it has been quiet for the time to live."""
-
-    def __init__(self, ttl_ms: int = 3_600_000):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("furthest", StructType([StructField("stage", IntegerType()), StructField("events", LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        stage, events = self.state.get() if self.state.exists() else (0, 0)
-        latest = None
-        for frame in rows:
-            stage = max(stage, int(frame["stage"].max()))
-            events += len(frame)
-            newest = frame["occurred_at"].max()
-            latest = newest if latest is None or newest > latest else latest
-        self.state.update((stage, events))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(latest.timestamp() * 1000) + self.ttl_ms)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.state.exists():
-            stage, events = self.state.get()
-            self.state.clear()
-            yield pd.DataFrame({"search_id": [key[0]], "stage": [stage], "events": [events]})
+def search_funnel(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
+    """Furthest stage each search reached before it was quiet for the time to live.
 
-    def close(self) -> None:
-        pass
-
-
-def search_funnel(events: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Furthest stage each search reached; the state store keeps one small row per open search."""
+    A session window per search keeps one small row per open search; it leaves the stream once,
+    when the watermark has passed its end. A search that comes back later is a new row.
+    """
     rank = F.lit(0)
     for kind, value in STAGE_RANK:
         rank = F.when(F.col("event_type") == kind, value).otherwise(rank)
-    rows = timed(events, late="1 hour").filter("search_id IS NOT NULL").withColumn("stage", rank).select("search_id", "stage", "occurred_at")
-    return rows.groupBy("search_id").transformWithStateInPandas(
-        statefulProcessor=FurthestStage(ttl_ms), outputStructType="search_id bigint, stage int, events bigint", outputMode="Append", timeMode="EventTime"
+    rows = once(events).filter("search_id IS NOT NULL").withColumn("stage", rank)
+    return rows.groupBy(F.session_window("occurred_at", ttl), "search_id").agg(F.max("stage").alias("stage"), F.count("*").alias("events")).select(
+        "search_id", F.col("session_window.start").alias("started"), "stage", "events"
     )
 
 
-class LatestEstimate(StatefulProcessor):
-    """Newest estimate per (stop, service, slot); dropped when it has gone stale."""
-
-    def __init__(self, fresh_ms: int = params.ARRIVAL_FRESH_S * 1000):
-        self.fresh_ms = fresh_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("latest", StructType([StructField("observed_at", TimestampType()), StructField("eta_seconds", LongType())]))
+ARRIVAL_KEY = ("stop_code", "service_no", "slot")
 
-    def handleInputRows(self, key, rows, timerValues):
-        best = self.state.get() if self.state.exists() else None
-        for frame in rows:
-            row = frame.sort_values(["observed_at", "event_id"]).iloc[-1]
-            if best is None or row["observed_at"].timestamp() >= best[0].timestamp():
-                best = (row["observed_at"].to_pydatetime(), int(row["eta_seconds"]))
-        self.state.update(best)
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(best[0].timestamp() * 1000) + self.fresh_ms)
-        yield pd.DataFrame({"stop_code": [key[0]], "service_no": [key[1]], "slot": [key[2]], "observed_at": [best[0]], "eta_seconds": [best[1]]})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        yield pd.DataFrame()
+def latest_arrivals(arrivals: DataFrame) -> DataFrame:
+    """Newest estimate per (stop, service, slot), in update mode; the keys are bounded by the timetable.
 
-    def close(self) -> None:
-        pass
+    The estimate may be served until ``fresh_until``. Staleness follows event time, so a replay
+    ends like the live run.
+    """
+    newest = F.max_by(F.struct("observed_at", "eta_seconds"), F.struct("observed_at", "event_id"))
+    rows = arrivals.withColumn("observed_at", F.col("observed_at").cast("timestamp")).filter("observed_at IS NOT NULL")
+    return rows.groupBy(*ARRIVAL_KEY).agg(newest.alias("x")).select(
+        *ARRIVAL_KEY, "x.observed_at", "x.eta_seconds", (F.col("x.observed_at") + F.make_dt_interval(secs=F.lit(params.ARRIVAL_FRESH_S))).alias("fresh_until")
+    )
 
 
-def latest_arrivals(arrivals: DataFrame) -> DataFrame:
-    """Latest estimate per key. Staleness follows event time, so a replay ends like the live run."""
-    rows = timed(arrivals, "observed_at", "1 minute").select("event_id", "observed_at", "stop_code", "service_no", F.col("slot").cast("int").alias("slot"), "eta_seconds")
-    return rows.groupBy("stop_code", "service_no", "slot").transformWithStateInPandas(
-        statefulProcessor=LatestEstimate(), outputStructType="stop_code string, service_no string, slot int, observed_at timestamp, eta_seconds bigint",
-        outputMode="Update", timeMode="EventTime",
-    )
+def replace_keys(table: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ARRIVAL_KEY) -> DataFrame:
+    """A batch of updated rows put in the place of the rows with their keys; null keys match each other."""
+    same = [table[k].eqNullSafe(batch[k]) for k in keys]
+    return table.join(batch, same, "left_anti").unionByName(batch)
 
 
 def arrival_operation(arrivals: DataFrame, routes: DataFrame) -> DataFrame:
@@ -174,29 +133,45 @@ def arrival_operation(arrivals: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def gap_terms(events: DataFrame, term: Column) -> DataFrame:
-    """Running counts of unresolved terms per day."""
-    return timed(events).filter("event_type = 'no_convenient_option'").withColumn("term", term).groupBy(F.window("occurred_at", "1 day"), "term").agg(
-        F.count("*").alias("n")
-    ).select(F.col("window.start").alias("day"), "term", "n")
+    """Running counts of unresolved terms per day, each event once."""
+    rows = once(events, late="1 day").filter("event_type = 'no_convenient_option'").withColumn("term", term).filter("term IS NOT NULL")
+    return rows.groupBy(F.window("occurred_at", "1 day"), "term").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "term", "n")
+
 
+def keep_top(table: DataFrame, batch: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` most counted terms of each day after a batch of updated counts.
 
-def merge_into(stream: DataFrame, root: str, merge, first: DataFrame, checkpoint: str):
+    Counts only grow, so a term that a batch does not touch can only lose ranks: one that is not in
+    the table now cannot enter it without being in a batch, and ``k`` rows a day are enough.
+    """
+    rows = replace_keys(table, batch, ("day", "term"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("n"), "term"))
+    return rows.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+
+def merge_into(stream: DataFrame, root: str, merge, first: DataFrame | None, checkpoint: str, mode: str = "append"):
     """Apply micro-batches to a versioned table, each exactly once.
 
+    Without a ``first`` table the first batch that holds rows starts it. ``mode`` is the output mode of the stream.
+
     The table's log is keyed by batch number: a replayed batch that is in the log does nothing,
     and one that died before its commit starts again from the last version, whatever data it left.
     """
     from ..sources import sinks
 
     spark = stream.sparkSession
-    if not sinks.committed(spark, root, "start"):
+    if first is not None and not sinks.committed(spark, root, "start"):
         sinks.write_version(first, root, "start")
 
     def apply(batch: DataFrame, number: int) -> None:
-        if not sinks.committed(spark, root, str(number)):
-            sinks.write_version(merge(sinks.read_version(spark, root), batch), root, str(number))
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if sinks.committed(spark, root, str(number)):
+            return
+        rows = store(batch, "batch")  # read by the test and twice by the merge; a stateful plan should run once
+        if not rows.isEmpty():
+            known = sinks.read_version(spark, root) if sinks.versions(spark, root) else spark.createDataFrame([], rows.schema)
+            sinks.write_version(merge(known, rows), root, str(number))
+
+    return stream.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def drain(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
