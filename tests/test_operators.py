@@ -278,6 +278,32 @@ def test_batches_of_a_merge_count_once(spark, tmp_path, monkeypatch):
         assert [tuple(r) for r in sinks.read_version(spark, root).collect()] == [("a", 11)]
 
 
+def test_route_prices_as_of_a_departure(spark):
+    import random
+
+    from tripweave.operators import routes
+
+    pick = random.Random(3)
+    fields = "from_place long, to_place long, bucket long, minutes double, walk_minutes double, walk_m double, transfers long"
+    # one pair holds a third of all rows; buckets reach over many days and below zero
+    pair = lambda: (1, 2) if pick.random() < 0.33 else (pick.randrange(4), pick.randrange(4))
+    rows = [(*pair(), pick.randrange(-300, 900), float(pick.randrange(5, 60)), 1.0, 78.0, pick.randrange(3)) for _ in range(300)]
+    rows += rows[:20] + [(1, 2, None, 9.0, 1.0, 1.0, 0), (None, 2, 5, 9.0, 1.0, 1.0, 0), (1, 2, 890, None, 1.0, 1.0, 0)]
+    asked = [(*pair(), pick.randrange(-320, 5000)) for _ in range(200)] + [(9, 9, 1), (1, None, 1), (1, 2, None)]
+    for width in (15, 60, 1):
+        want = set()
+        for a, b, k in asked:
+            known = [r for r in rows if r[:2] == (a, b) and None not in (a, b, k, r[2], r[3]) and r[2] <= k]
+            if known:
+                newest = max(r[2] for r in known)
+                want.add((a, b, k, *min(r[3:] for r in known if r[2] == newest)))
+        found = routes.as_of(spark.createDataFrame(asked, "from_place long, to_place long, bucket long"), spark.createDataFrame(rows, fields), width)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    empty = routes.as_of(spark.createDataFrame(asked, "from_place long, to_place long, bucket long"), spark.createDataFrame([], fields))
+    assert empty.count() == 0
+
+
 def test_top_terms_of_growing_counts(spark):
     import random
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import params
 from ..functions import geo
-from ..operators import candidates, catalog, evaluate, network, rank
+from ..operators import candidates, catalog, evaluate, network, rank, routes
 from ..session import spread, store
 
 
@@ -20,12 +20,17 @@ class TripPlan:
     trips: trip_id, departure, o/d coordinates, category_1/2 (index), exact_brand_1/2,
     preferred_category/brand, limits with hard flags, tolerances, urgency,
     prefer_consolidated, arrive_by. hubs, outlets, nodes, stations, categories as bound.
+
+    ``route_table`` holds prices (minutes, walk_minutes, walk_m, transfers) per from_place, to_place and
+    departure bucket of ``bucket_minutes``; each leg takes the row as of the moment it leaves, and
+    legs that the table does not hold are priced from the network.
     """
 
-    def __init__(self, spark, trips, hubs, outlets, nodes, stations, categories, with_fallbacks=True):
+    def __init__(self, spark, trips, hubs, outlets, nodes, stations, categories, with_fallbacks=True, route_table=None, bucket_minutes=1):
         self.spark, self.trips, self.hubs, self.outlets = spark, trips, hubs, outlets
         self.nodes, self.stations, self.categories = nodes, stations, categories
         self.with_fallbacks = with_fallbacks
+        self.route_table, self.bucket_minutes = route_table, bucket_minutes
         self._made: dict[str, DataFrame] = {}
 
     def _once(self, name: str, build, keep: bool = False) -> DataFrame:
@@ -92,8 +97,11 @@ class TripPlan:
                 geo.place_key("d_lat", "d_lon").alias("to_place"),
             )
             priced = self.price(keyed.select("from_place", "to_place").distinct()).drop("from_lat", "from_lon", "to_lat", "to_lon", "first_station", "last_station")
+            whole = keyed.join(priced, ["from_place", "to_place"])
+            if self.route_table is not None:
+                whole = self.direct_as_of(whole)
             spots = self.plans().select("s", "t", "f_lat", "f_lon", "l_lat", "l_lon")
-            return keyed.join(priced, ["from_place", "to_place"]).join(spots, ["s", "t"], "left").select(
+            return whole.join(spots, ["s", "t"], "left").select(
                 "trip_id", *candidates.ROUTE_FIELDS, "s", "t", "walk_only", "f_lat", "f_lon", "l_lat", "l_lon",
                 geo.haversine_km("o_lat", "o_lon", "d_lat", "d_lon").alias("base_km"),
                 F.col("minutes").alias("base_minutes"), F.col("walk_minutes").alias("base_walk_minutes"),
@@ -102,6 +110,14 @@ class TripPlan:
 
         return self._once("routes", build, keep=True)
 
+    def direct_as_of(self, priced: DataFrame) -> DataFrame:
+        """Direct trips with the table's price as of their departure, where it has one."""
+        leaving = self.trips.select("trip_id", routes.bucket(F.col("departure"), self.bucket_minutes).alias("bucket"))
+        rows = priced.join(leaving, "trip_id")
+        found = routes.as_of(rows, self.route_table, self.bucket_minutes).withColumnsRenamed({c: f"t_{c}" for c in routes.PRICE})
+        rows = rows.join(found, [*routes.PAIR, "bucket"], "left")
+        return rows.withColumns({c: F.coalesce(f"t_{c}", c) for c in routes.PRICE}).drop("bucket", *[f"t_{c}" for c in routes.PRICE])
+
     def lines(self):
         return self.plans().select("s", "t", "line")
 
@@ -201,11 +217,19 @@ class TripPlan:
     def route_keys(self):
         return self.segments().select("from_place", "to_place").distinct()
 
+    def starts(self):
+        """Departure and dwell of every visit order."""
+        leaving = self.trips.select("trip_id", "departure")
+        return self.orders().withColumn("s2", F.coalesce("stop2", F.lit(-1))).join(leaving, "trip_id").select(*routes.ORDER, "departure", "dwell_a", "dwell_b")
+
     def priced_segments(self):
-        return self._once(
-            "priced_segments",
-            lambda: self.segments().join(self.price(self.route_keys()), ["from_place", "to_place"], "left"),
-        )
+        def build():
+            legs = self.segments().join(self.price(self.route_keys()), ["from_place", "to_place"], "left")
+            if self.route_table is None:
+                return legs
+            return routes.along_the_clock(legs, self.starts(), self.route_table, self.bucket_minutes)
+
+        return self._once("priced_segments", build)
 
     def totals(self):
         def build():

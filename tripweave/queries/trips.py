@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from .. import params
-from ..operators import candidates, evaluate, network, rank, spatial
+from ..functions import geo
+from ..operators import candidates, evaluate, network, rank, routes, spatial
 from ..plans.trips import TripPlan
 from .registry import define, query
 
@@ -452,6 +453,65 @@ def _(g):
     return p.price(p.route_keys()).select("from_place", "to_place", "minutes", "walk_minutes", "walk_m", "transfers", "s", "t")
 
 
+_key = "CAST(ROUND({0}_lat*1e6) AS BIGINT)*1000000000+CAST(ROUND({0}_lon*1e6) AS BIGINT)"
+define(
+    x_departure=f"""SELECT trip_id, {_key.format('o')} AS from_place, {_key.format('d')} AS to_place, CAST(FLOOR(epoch_us(CAST(departure AS TIMESTAMP))/6e7) AS BIGINT) + departure_minute AS bucket FROM b_trip""",
+    x_route_key="SELECT DISTINCT from_place, to_place, bucket + step.n*45 AS bucket FROM x_departure, (VALUES (0),(1),(2)) AS step(n)",
+    x_route_row="""SELECT from_place, to_place, bucket - step.n*45 + trip_id % 60 - 20 AS bucket, 20e0 + (trip_id*7 + step.n*13) % 70 AS minutes, 1e0 + (trip_id + step.n) % 12 AS walk_minutes,
+ 78e0 * (1 + (trip_id + step.n) % 12) AS walk_m, (trip_id + step.n) % 3 AS transfers FROM x_departure, (VALUES (0),(1),(2),(3),(40)) AS step(n) WHERE trip_id % 9 <> 0""",
+    x_route_once="""SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY from_place, to_place, bucket ORDER BY minutes, walk_minutes, walk_m, transfers) AS rn FROM x_route_row) z WHERE rn=1""",
+)
+
+
+def departures(g):
+    return trip_table(g).select("trip_id", geo.place_key("o_lat", "o_lon").alias("from_place"), geo.place_key("d_lat", "d_lon").alias("to_place"), routes.bucket(F.col("departure"), 1).alias("bucket"))
+
+
+def route_keys(g):
+    """What trips ask for: their direct pair when they leave, and 45 and 90 minutes later."""
+    return departures(g).select("from_place", "to_place", F.explode(F.array(*[F.col("bucket") + 45 * n for n in range(3)])).alias("bucket")).distinct()
+
+
+def route_rows(g):
+    """A route table captured at several times around the departures; one trip in nine has no rows."""
+    step, trip = F.col("n"), F.col("trip_id")
+    rows = departures(g).filter("trip_id % 9 <> 0").withColumn("n", F.explode(F.array(*[F.lit(n) for n in (0, 1, 2, 3, 40)])))
+    walk = (1 + (trip + step) % 12).cast("double")
+    return rows.select(
+        "from_place", "to_place", (F.col("bucket") - step * 45 + trip % 60 - 20).alias("bucket"), (20 + (trip * 7 + step * 13) % 70).cast("double").alias("minutes"),
+        walk.alias("walk_minutes"), (78 * walk).alias("walk_m"), ((trip + step) % 3).alias("transfers"),
+    )
+
+
+@query("set_route_buckets", "SELECT from_place, to_place, bucket FROM x_route_key")
+def _(g):
+    return route_keys(g)
+
+
+@query("join_route_asof", """SELECT k.from_place, k.to_place, k.bucket, r.minutes, r.walk_minutes, r.walk_m, r.transfers FROM x_route_key k
+ ASOF JOIN x_route_once r ON r.from_place=k.from_place AND r.to_place=k.to_place AND r.bucket<=k.bucket""")
+def _(g):
+    return routes.as_of(route_keys(g), route_rows(g))
+
+
+def leg_rows(g):
+    """A route table of the legs of the plan: a price a year for two pairs of directed places in three."""
+    pairs = plan(g).route_keys().withColumn("h", F.xxhash64("from_place", "to_place")).filter("pmod(h, 3) <> 0")
+    rows = pairs.withColumn("year", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    walk = F.expr("double(1 + pmod(h, 9))")
+    return rows.select(
+        "from_place", "to_place", (11_570_400 + F.col("year") * 525_600).cast("bigint").alias("bucket"), F.expr("double(10 + pmod(h + 7 * year, 50))").alias("minutes"),
+        walk.alias("walk_minutes"), (78 * walk).alias("walk_m"), F.expr("pmod(h, 3)").alias("transfers"),
+    )
+
+
+@query("win_leg_departures")
+def _(g):
+    p = plan(g)
+    legs = routes.along_the_clock(p.priced_segments(), p.starts(), g.keep("leg_rows", lambda: leg_rows(g)))
+    return legs.select(*routes.ORDER, "segment", *routes.PAIR, F.unix_timestamp("leaves").alias("leaves"), "bucket", "minutes", "walk_minutes", "walk_m", "transfers", "from_table")
+
+
 @query("agg_combine_segments", "SELECT sid, stop1, stop2, order_no, travel_minutes, walk_minutes, walk_m, CAST(transfers AS BIGINT) AS transfers FROM x_total")
 def _(g):
     return plan(g).totals().select("sid", "stop1", "stop2", "order_no", "travel_minutes", "walk_minutes", "walk_m", "transfers")
