@@ -274,10 +274,18 @@ def _(g):
     return plan(g).quality()
 
 
-@query("join_nearby_mall", "SELECT hub_id, mall_name AS nearby_mall, ROUND(m,1) AS nearby_mall_m FROM x_near_mall")
+# stands around every mall, from its door to beyond the reach of the join
+BINDINGS["b_stand"] = """SELECT p_partkey + 1000000000 AS hub_id, 'Stand ' || p_name AS name, 1.22e0 + ((p_partkey * 7919) % 2500) / 1e4 + (p_partkey % 9) * 0.0005e0 AS lat,
+ 103.62e0 + ((p_partkey * 104729) % 4600) / 1e4 + (p_partkey % 4) * 0.0001e0 AS lon, 'standalone' AS semantic_type, 'unknown' AS closure_status FROM part WHERE p_partkey % 20 = 0"""
+_apart = "sqrt(pow((h.lat-k.lat)*110570e0,2)+pow((h.lon-k.lon)*111320e0*cos(radians((h.lat+k.lat)/2)),2))"
+
+
+@query("join_nearby_mall", f"""SELECT hub_id, nearby_mall, ROUND(m,1) AS nearby_mall_m FROM (SELECT h.hub_id, k.name AS nearby_mall, {_apart} AS m, ROW_NUMBER() OVER (PARTITION BY h.hub_id ORDER BY {_apart}, k.name) AS rn
+ FROM (SELECT hub_id, lat, lon FROM b_hub WHERE semantic_type<>'mall' UNION ALL SELECT hub_id, lat, lon FROM b_stand) h JOIN b_hub k ON k.semantic_type='mall' AND k.closure_status<>'closed') z WHERE rn=1 AND m<=350""")
 def _(g):
-    near = catalog.nearby_mall(g.hub)
-    return g.hub.filter("semantic_type <> 'mall'").join(near, ["lat", "lon"]).select("hub_id", "nearby_mall", "nearby_mall_m")
+    fields = ["hub_id", "name", "lat", "lon", "semantic_type", "closure_status"]
+    hubs = g.hub.select(fields).unionByName(g.stand.select(fields))
+    return hubs.filter("semantic_type <> 'mall'").join(catalog.nearby_mall(hubs), ["lat", "lon"]).select("hub_id", "nearby_mall", "nearby_mall_m")
 
 
 @query("top_area", "SELECT hub_id, area FROM (SELECT h.hub_id, a.area, ROW_NUMBER() OVER (PARTITION BY h.hub_id ORDER BY pow(h.lat-a.lat,2)+pow(h.lon-a.lon,2), a.i) AS rn FROM b_hub h, x_centre a) z WHERE rn=1")
@@ -287,14 +295,16 @@ def _(g):
 
 define(x_centre=params.values_sql([(i, *row) for i, row in enumerate(params.AREA_CENTRES)], "i, area, lat, lon"))
 define(
-    x_incoming="""SELECT 'extract' AS source, name, lat + 0.001e0 AS lat, lon FROM b_hub WHERE source='curated'""",
+    x_incoming="""SELECT name, lat + 0.001e0 AS lat, lon FROM b_hub WHERE source='curated'
+ UNION ALL SELECT name, lat + CASE WHEN hub_id % 3 = 0 THEN 0.001e0 ELSE 0.01e0 END, lon FROM x_kept_hub WHERE hub_id % 6 < 4""",
     x_kept_hub="SELECT * FROM b_hub WHERE source<>'curated'",
 )
 
 
 def incoming(g):
-    """A fresh capture of the hubs one source holds, moved a little."""
-    return g.hub.filter("source = 'curated'").withColumn("lat", F.col("lat") + 0.001)
+    """A fresh capture of the hubs one source holds, moved a little, and of hubs of other sources, some moved far."""
+    held = F.col("source") == "curated"
+    return g.hub.filter(held | (F.col("hub_id") % 6 < 4)).withColumn("lat", F.col("lat") + F.when(held | (F.col("hub_id") % 3 == 0), 0.001).otherwise(0.01))
 
 
 @query("join_superseded", f"""SELECT DISTINCT h.hub_id FROM x_kept_hub h JOIN x_incoming i ON {_norm('h.name')}={_norm('i.name')} AND {H('h.lat','h.lon','i.lat','i.lon')}<=0.4""")

@@ -56,7 +56,9 @@ def _(g):
     return feeds.grid_to_degrees(g.grid).select("point_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
-@query("src_itineraries")
+@query("src_itineraries", """SELECT capture_id, CASE WHEN k<5 THEN ROUND((ride + CASE WHEN k=1 THEN 420 ELSE 600 END)/6e1,2) END AS minutes, CASE WHEN k<5 THEN 7e0 END AS walk_minutes, CASE WHEN k<5 THEN 820.6e0 END AS walk_m,
+ CASE WHEN k<5 THEN CASE WHEN k=3 THEN 1 ELSE 0 END END AS transfers, CASE WHEN k<5 THEN 3 END AS n_legs, CASE WHEN k=5 THEN 'no route' END AS reject_reason
+ FROM (SELECT o_orderkey AS capture_id, 600 + o_custkey % 3000 AS ride, o_orderkey % 6 AS k FROM orders) z""")
 def _(g):
     base = g.orders.select(F.col("o_orderkey").alias("capture_id"), (600 + F.col("o_custkey") % 3000).alias("ride"), (F.col("o_orderkey") % 6).alias("k"))
     leg = lambda mode, dur: F.struct(F.lit(mode).alias("mode"), dur.cast("string").alias("duration"), F.lit("410.25").alias("distance"))
@@ -69,13 +71,14 @@ def _(g):
     return routes.select("capture_id", "minutes", "walk_minutes", "walk_m", "transfers", "n_legs", F.lit(None).cast("string").alias("reject_reason")).unionByName(rejects, allowMissingColumns=True)
 
 
-@query("src_arrivals")
+@query("src_arrivals", f"""SELECT stop_code, service_no, nth AS slot, CAST(FLOOR(epoch_us(observed_at + to_seconds(eta_seconds))/1e6) AS BIGINT) AS due, live, load, TRUE AS accessible, 'DD' AS vehicle,
+ '{dict(params.BUS_OPERATORS)["SBST"]}' AS operator FROM b_arrival, (VALUES (1),(2),(3)) AS n(nth) WHERE slot >= nth AND eta_seconds IS NOT NULL AND observed_at IS NOT NULL""")
 def _(g):
     stamp = F.date_format(F.col("observed_at").cast("timestamp") + F.make_dt_interval(secs=F.col("eta_seconds").cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     bus = lambda test: F.struct(F.when(test, stamp).otherwise("").alias("EstimatedArrival"), F.when(F.col("live"), "1").otherwise("0").alias("Monitored"), F.coalesce("load", F.lit("")).alias("Load"), F.lit("WAB").alias("Feature"), F.lit("DD").alias("Type"))
     service = F.struct(F.col("service_no").alias("ServiceNo"), F.lit("SBST").alias("Operator"), bus(F.col("slot") >= 1).alias("NextBus"), bus(F.col("slot") >= 2).alias("NextBus2"), bus(F.col("slot") >= 3).alias("NextBus3"))
     payload = g.arrival.select(F.to_json(F.struct(F.col("stop_code").alias("BusStopCode"), F.array(service).alias("Services"))).alias("payload"))
-    return feeds.arrivals(payload, g.spark)
+    return feeds.arrivals(payload, g.spark).withColumn("due", F.unix_timestamp("due"))
 
 
 def entity_payloads(g):

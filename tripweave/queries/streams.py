@@ -115,7 +115,7 @@ def _(g):
     return rows.select(*streams.ARRIVAL_KEY, F.unix_timestamp("observed_at").alias("observed_at"), "eta_seconds", F.unix_timestamp("fresh_until").alias("fresh_until"))
 
 
-@query("stream_arrival_operation")
+@query("stream_arrival_operation", "SELECT event_id, stop_code, service_no, direction, state AS in_operation, hours_text FROM x_arrival_state")
 def _(g):
     return run(g, "operation", streams.arrival_operation(streams.file_stream(g.spark, *arrival_files(g)), g.keep("routes", lambda: timetable.routes(g.bus_route))))
 
