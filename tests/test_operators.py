@@ -433,3 +433,18 @@ def test_usage_report_reads_events_once(spark):
     assert (row.today, row.unique_anonymous_users, row.active_users_one_day, row.active_users_seven_day, row.returning_users) == ("2026-01-09", 3, 2, 3, 1)
     empty = usage.usage_report(usage.facts(events.limit(0))).first()
     assert empty.searches == 0 and empty.median_latency_ms is None and empty.unique_anonymous_users == 0
+
+
+def test_searches_leave_with_the_newest_event_of_any_kind(spark, tmp_path):
+    from tripweave.streaming import streams
+
+    fields = "event_id bigint, occurred_at string, search_id bigint, event_type string"
+    rows = [
+        (1, "2024-01-01 08:00:00", 7, "search_started"), (2, "2024-01-01 08:00:05", 7, "optimization_completed"), (2, "2024-01-01 08:00:05", 7, "optimization_completed"),
+        (3, "2024-01-01 09:00:00", 8, "search_started"), (4, "2024-01-01 20:00:00", 9, "recommendation_selected"),
+    ]
+    source = str(tmp_path / "events")
+    spark.createDataFrame(rows, fields).withColumn("occurred_at", F.col("occurred_at").cast("timestamp")).write.parquet(source)
+    events = streams.file_stream(spark, source, spark.read.parquet(source).schema)
+    found = streams.drain(streams.search_outcome(events, events), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {tuple(r) for r in found.collect()} == {(1, 7, "completed"), (3, 8, "timed_out")}

@@ -66,12 +66,13 @@ def search_outcome(events: DataFrame, other: DataFrame, seconds: int = params.SE
     ``other`` is the same source read again: a stream joins a stream with a watermark on
     each side and a time range, so state is dropped as soon as no match can come. A search with
     several completions meets each of them; they collapse in the stream, as soon as the
-    watermark has passed the start.
+    watermark has passed the start. Both sides drop repeats before they pick their events: a
+    filter would otherwise move below the watermark, which must follow events of every kind.
     """
     started = once(events).filter("event_type = 'search_started' AND search_id IS NOT NULL").select("event_id", "search_id", F.col("occurred_at").alias("started_at"))
-    done = other.withColumn("completed_at", F.col("occurred_at").cast("timestamp")).withWatermark("completed_at", "1 hour").filter(
-        "event_type = 'optimization_completed'"
-    ).select(F.col("search_id").alias("done_id"), "completed_at")
+    done = once(other.withColumnRenamed("occurred_at", "completed_at"), "completed_at").filter("event_type = 'optimization_completed'").select(
+        F.col("search_id").alias("done_id"), "completed_at"
+    )
     inside = F.expr(f"search_id = done_id AND completed_at BETWEEN started_at AND started_at + INTERVAL {seconds} SECONDS")
     met = started.join(done, inside, "left_outer")
     return met.groupBy("started_at", "event_id", "search_id").agg(F.count("done_id").alias("n")).select(
