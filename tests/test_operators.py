@@ -448,3 +448,16 @@ def test_searches_leave_with_the_newest_event_of_any_kind(spark, tmp_path):
     events = streams.file_stream(spark, source, spark.read.parquet(source).schema)
     found = streams.drain(streams.search_outcome(events, events), str(tmp_path / "out"), str(tmp_path / "state"))
     assert {tuple(r) for r in found.collect()} == {(1, 7, "completed"), (3, 8, "timed_out")}
+
+
+def test_close_pairs_are_whole_and_never_broadcast(spark):
+    rnd = random.Random(5)
+    rows = [(f"p{i:04d}", "k" if i % 3 else "l", 1.3 + rnd.random() / 100, 103.8 + rnd.random() / 100) for i in range(300)]
+    rows += [("p9000", "k", *rows[1][2:]), ("p9001", "k", *rows[1][2:]), ("p9002", "k", 1.31, 103.9)]
+    frame = spark.createDataFrame(rows, "id string, key string, lat double, lon double")
+    pairs = catalog.close_pairs(frame, "key", 0.15)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    apart = frame.alias("a").crossJoin(frame.alias("b")).filter("a.key = b.key AND b.id < a.id").filter(geo.haversine_km("a.lat", "a.lon", "b.lat", "b.lon") <= 0.15)
+    want = sorted(tuple(r) for r in apart.select("a.id", "b.id").collect())
+    assert want and sorted(tuple(r) for r in pairs.collect()) == want
