@@ -461,3 +461,20 @@ def test_close_pairs_are_whole_and_never_broadcast(spark):
     apart = frame.alias("a").crossJoin(frame.alias("b")).filter("a.key = b.key AND b.id < a.id").filter(geo.haversine_km("a.lat", "a.lon", "b.lat", "b.lon") <= 0.15)
     want = sorted(tuple(r) for r in apart.select("a.id", "b.id").collect())
     assert want and sorted(tuple(r) for r in pairs.collect()) == want
+
+
+def test_the_planner_writes_corridor_rows_once(spark, monkeypatch):
+    from tripweave.plans import trips as planner
+    from tripweave.queries.registry import Given
+    from tripweave.queries.trips import plan
+
+    written, store = [], planner.store
+    monkeypatch.setattr(planner, "store", lambda frame, name, **options: written.append(name) or store(frame, name, **options))
+    p = plan(Given(spark, "/root/testdata/sf0.001"))
+    got = p.corridor_rows().select("sid", "hub_id", "tag", "line_km")
+    assert "near_lists" not in written and "corridor_rows" not in written
+    both = candidates.full_cover(p.searches(), p.hub_rows(), p.line_hubs())
+    near = store(p.near_lists(), "lists")
+    assert near.select("sid").distinct().exceptAll(p.corridor_near().select("sid").distinct()).isEmpty()
+    want = candidates.transit_access(near.unionByName(both).unionByName(p.far_rows())).select("sid", "hub_id", "tag", "line_km")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and not got.isEmpty()
