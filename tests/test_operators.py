@@ -478,3 +478,16 @@ def test_the_planner_writes_corridor_rows_once(spark, monkeypatch):
     assert near.select("sid").distinct().exceptAll(p.corridor_near().select("sid").distinct()).isEmpty()
     want = candidates.transit_access(near.unionByName(both).unionByName(p.far_rows())).select("sid", "hub_id", "tag", "line_km")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and not got.isEmpty()
+
+
+def test_running_counts_equal_a_count_of_every_row(spark):
+    rng = random.Random(28)
+    clocks = lambda: rng.choice([("0530", "0015"), ("0600", "2400"), ("1427", "2349"), (None, None), ("0620", None)])
+    rows = [(str(i % 3), 1, i, f"{10000 + i}", *clocks(), *clocks(), *clocks()) for i in range(400)] + [("lone", 1, 1, "10000", *[None] * 6)]
+    named = ", ".join(f"{c} string" for c in timetable.CLOCK_FIELDS.values())
+    routes = spark.createDataFrame(rows, f"service_no string, direction int, stop_sequence int, stop_code string, {named}")
+    each = timetable.service_state_at(routes, (0, 5, 6), (10, 720)).groupBy("service_no", "weekday", "minute").agg(
+        F.count_if("in_operation"), F.count_if(~F.col("in_operation")), F.count_if(F.col("in_operation").isNull()), F.min("hours_text")
+    )
+    got = timetable.running_counts(routes, (0, 5, 6), (10, 720))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, each.collect()), key=repr) and got.count() == 24

@@ -122,11 +122,7 @@ def _(g):
  COUNT(CASE WHEN state IS NULL THEN 1 END) AS unknown, MIN(hours_text) AS hours_text FROM x_state GROUP BY service_no, weekday, minute""",
 )
 def _(g):
-    rows = timetable.service_state_at(timetable.routes(g.bus_route), range(7), (10, 330, 720, 1430))
-    return rows.groupBy("service_no", "weekday", "minute").agg(
-        F.count_if("in_operation").alias("running"), F.count_if(~F.col("in_operation")).alias("stopped"),
-        F.count_if(F.col("in_operation").isNull()).alias("unknown"), F.min("hours_text").alias("hours_text"),
-    )
+    return timetable.running_counts(timetable.routes(g.bus_route), range(7), (10, 330, 720, 1430))
 
 
 @query("prj_hours_windows", "SELECT o.outlet_id, CAST(w.day AS INTEGER) AS day, start_minute, end_minute FROM b_outlet o JOIN x_window w ON w.hours=o.opening_hours")
