@@ -491,3 +491,23 @@ def test_running_counts_equal_a_count_of_every_row(spark):
     )
     got = timetable.running_counts(routes, (0, 5, 6), (10, 720))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, each.collect()), key=repr) and got.count() == 24
+
+
+def test_malls_and_places_of_one_spot_meet_once(spark, monkeypatch):
+    met = []
+    for name in ("inside_boxes", "within"):
+        plain = getattr(spatial, name)
+
+        def counted(spots, sites, *rest, plain=plain):
+            met.append((spots.count(), sites.count()))
+            return plain(spots, sites, *rest)
+
+        monkeypatch.setattr(catalog.spatial, name, counted)
+    places = spark.createDataFrame([(f"p{i}", 1.3, 103.8) for i in range(30)] + [("far", 1.4, 103.9)], "source_id string, lat double, lon double")
+    malls = spark.createDataFrame(
+        [(f"m{i}", 1.3, 103.8, 1.29, 1.31, 103.79, 103.81) for i in range(20, 9, -1)] + [("a", 1.3, 103.8, None, None, None, None)],
+        "mall_id string, lat double, lon double, minlat double, maxlat double, minlon double, maxlon double",
+    )
+    rows = catalog.mall_of(places, malls, "source_id").collect()
+    assert {tuple(r) for r in rows} == {(f"p{i}", "m10", "containment") for i in range(30)} and len(rows) == 30
+    assert met == [(2, 1), (2, 1)]
