@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tripweave.llm import resemblance
+from tripweave.llm import resemblance, simhash
 from tripweave.llm.common import ship
 
 
@@ -62,3 +62,24 @@ def test_stage_drops_copies_of_four_fifths(spark):
     frame = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, x int")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()}
     assert kept == set(brute_components(texts))
+
+
+def test_fingerprints_find_copies_before_any_band(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(resemblance, "ROUNDS", ())
+    rng = random.Random(27)
+    texts = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        texts += [" ".join(words), " ".join([*words[:-1], "x"])]
+    texts.append("alone " * 60)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in resemblance.near_copies(frame).collect()}
+    want = {i: simhash_pairs(texts)[i] for i in range(len(texts))}
+    assert got == want and sum(i != c for i, c in got.items()) >= 15
+
+
+def simhash_pairs(texts):
+    """Each copy with its original if their fingerprints differ in four bits or fewer."""
+    marks = [simhash.fingerprint(t, resemblance.SHINGLE) for t in texts]
+    return [i - 1 if i % 2 and (marks[i] ^ marks[i - 1]).bit_count() <= 4 else i for i in range(len(texts))]

@@ -1,8 +1,13 @@
 """Near copies by resemblance: texts whose sets of five-word shingles have a Jaccard of 0.8 or more.
 
-Every text gets ``BANDS`` keys, each made of ``ROWS`` min-hashes of its shingles; two texts meet
-where they share a key, which a pair of Jaccard j does with probability ``1 - (1 - j**ROWS)**BANDS``
-(0.9999 at 0.8). Texts that meet are verified by the exact Jaccard of their sets.
+First come the links of ``simhash``: fingerprints of the same shingles, posted under their positional
+bytes, tallied to the guaranteed minimum and counted by bits. Texts whose fingerprints are linked
+meet and are verified by the exact Jaccard of their sets.
+
+Fingerprints tell copies of few changes; a Jaccard of 0.8 seldom leaves them within four bits. So every
+text also gets ``BANDS`` keys, each made of ``ROWS`` min-hashes of its shingles, and what the fingerprints
+left apart meets where it shares a key, which a pair of Jaccard j does with probability
+``1 - (1 - j**ROWS)**BANDS`` (0.9999 at 0.8), and is verified alike.
 
 Texts with equal sets count once, and posting lists with the same members meet once. Bands are
 worked off in rounds: what the first few keys connect needs no second look, so later rounds
@@ -23,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import fanout, field, slices, store
 from .components import components
 from .simhash import _hook
@@ -44,13 +50,18 @@ BLOCK, VOLUME = 512, 1 << 20
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The different lower-cased five-word shingles, each hashed by XXH64; a shorter text is one."""
+def hashes(text: str | None) -> np.ndarray:
+    """The lower-cased five-word shingles in order, repeats included, each hashed by XXH64; a shorter text is one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
     count, digest = max(1, len(words) - SHINGLE + 1), xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(count)), dtype=np.uint64, count=count))
+    return np.fromiter((digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(count)), dtype=np.uint64, count=count)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The different hashes of a text's shingles."""
+    return np.unique(hashes(text))
 
 
 def keys(found: np.ndarray) -> list[int]:
@@ -65,14 +76,16 @@ def keys(found: np.ndarray) -> list[int]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
     for whole in batches:
         for batch in slices(whole, "text"):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, raw = shingles(text), (text or "").encode("utf-8", "surrogatepass")
-                out.append((doc_id, xxhash.xxh3_128_digest(found.tobytes()), keys(found), len(found), len(raw), pa.compress(raw, "zstd", asbytes=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "digest", "bands", "size", "n_bytes", "packed"])
+                every = hashes(text)
+                found, raw = np.unique(every), (text or "").encode("utf-8", "surrogatepass")
+                mark = np.uint64(simhash.majority(every)).astype(np.int64).item()
+                out.append((doc_id, xxhash.xxh3_128_digest(found.tobytes()), mark, keys(found), len(found), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "digest", "fp", "bands", "size", "n_bytes", "packed"])
 
 
 def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +176,23 @@ def _crossing(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     return crossing.union(among.select(F.xxhash64("key", F.lit("rest"), F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "cid"))
 
 
+def _marked(apart: DataFrame) -> DataFrame:
+    """``cid, size, key``: the key names the linked fingerprints that a text's fingerprint belongs to."""
+    marks = store(apart.select("fp").distinct(), "marks")
+    linked = components(simhash.linked(marks)).withColumnRenamed("node", "fp")
+    return apart.join(linked, "fp", "left").select("cid", "size", F.coalesce("root", "fp").alias("key"))
+
+
+def _round(posted: DataFrame, texts: DataFrame, roots: DataFrame | None, block: int) -> DataFrame:
+    """Components once the texts ``(cid, size, key)`` of equal keys have met."""
+    members = _lists(_rooted(posted, roots), block)
+    dealt = F.pmod(F.xxhash64("cid", "key"), F.col("blocks"))
+    roots = _joined(_meet(members.select(F.xxhash64("key", dealt).alias("unit"), "cid"), texts, "links"), roots)
+    if not members.where("blocks > 1").isEmpty():
+        roots = _joined(_meet(_crossing(members, roots, block), texts, "crossing"), roots)
+    return roots
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``(doc_id, component_id)`` for every row; ids must be set and differ from each other.
 
@@ -171,18 +201,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     smallest id reachable. An empty table gives an empty result; other columns are ignored.
     """
     given = docs.select(field(doc_id).cast("long").alias("doc_id"), field(text).cast("string").alias("text"))
-    signed = store(given.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, size long, n_bytes long, packed binary"), "signed")
+    signed = store(given.mapInArrow(_sign, "doc_id long, digest binary, fp long, bands array<long>, size long, n_bytes long, packed binary"), "signed")
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("cid"))
     texts = signed.select(F.col("doc_id").alias("cid"), "n_bytes", "packed")
-    apart = store(signed.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "size", "bands"), "apart")
-    roots = None
+    apart = store(signed.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "size", "fp", "bands"), "apart")
+    roots = _round(_marked(apart), texts, None, block)
     for first, last in ROUNDS:
         some = apart.select("cid", "size", F.explode(F.slice("bands", first + 1, last - first)).alias("key"))
-        members = _lists(_rooted(some, roots), block)
-        dealt = F.pmod(F.xxhash64("cid", "key"), F.col("blocks"))
-        roots = _joined(_meet(members.select(F.xxhash64("key", dealt).alias("unit"), "cid"), texts, "links"), roots)
-        if not members.where("blocks > 1").isEmpty():
-            roots = _joined(_meet(_crossing(members, roots, block), texts, "crossing"), roots)
+        roots = _round(some, texts, roots, block)
     return _named(signed, classes, roots)
 
 

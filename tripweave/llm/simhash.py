@@ -57,6 +57,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of the hashes of a text's shingles, repeats included; zero for none."""
+    counts, step = np.zeros(64, dtype=np.int64), 1 << 16
+    for at in range(0, len(hashes), step):
+        part = np.ascontiguousarray(hashes[at : at + step], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((counts * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)`` per row; the fingerprint's 64 bits as a signed long."""
 
