@@ -3,7 +3,9 @@
 Each round turns every node's links towards its smallest known neighbour, first over all
 neighbours (large star), then over the smaller ones (small star), until nothing changes.
 A round is written to the shared folder, so the lineage stays short and a lost executor
-costs a re-read. Nothing but a row count and a checksum reaches the driver.
+costs a re-read. Nothing but a row count and a checksum reaches the driver. What a round
+shuffles and writes is dealt to as many tasks as its links need: every task of a shuffle leaves
+files of a block each, which at many partitions and few links are far larger than the links.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import store
 
 
+#: Links that one task of a round handles.
+LINKS = 1 << 16
+
+
 def _checksum(edges: DataFrame) -> tuple:
     digest = F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))
     row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(digest), F.lit(0)).alias("s")).first()
@@ -34,16 +40,18 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     edges = store(edges, "links")
     seen = _checksum(edges)
     while seen[0]:
+        tasks = -(-seen[0] // LINKS)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b")))
+            .coalesce(tasks)
             .distinct()
         )
-        edges = store(small, "links")
+        edges = store(small.coalesce(tasks), "links")
         now = _checksum(edges)
         if now == seen:
             break
