@@ -79,6 +79,19 @@ def test_fingerprints_find_copies_before_any_band(spark, monkeypatch):
     assert got == want and sum(i != c for i, c in got.items()) >= 15
 
 
+def test_a_crowd_costs_a_link_per_member_once(spark, monkeypatch):
+    ship(spark)
+    rng, given = random.Random(5), []
+    passage = [f"p{i}" for i in range(300)]
+    texts = [" ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(5)]) for _ in range(200)]
+    real = resemblance.components
+    monkeypatch.setattr(resemblance, "components", lambda links: given.append(links.distinct().count()) or real(links))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in resemblance.near_copies(frame, block=8).collect()}
+    assert set(got.values()) == {0}
+    assert sum(given[1:]) <= 2 * len(texts)
+
+
 def simhash_pairs(texts):
     """Each copy with its original if their fingerprints differ in four bits or fewer."""
     marks = [simhash.fingerprint(t, resemblance.SHINGLE) for t in texts]

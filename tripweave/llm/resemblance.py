@@ -14,8 +14,10 @@ worked off in rounds: what the first few keys connect needs no second look, so l
 read only the lists whose members are still apart, and few texts travel more than once or twice.
 They travel compressed. Long posting lists are cut into blocks. First every block meets itself;
 then, where a list still holds several components, all texts outside its largest one meet the
-whole list, block by block, so a crowd of near copies costs a link per member and no pair of
-different components is left out.
+whole list, block by block, and no pair of different components is left out. What is connected
+when texts meet is known where they meet, so only links between different components come out, as
+links of their roots: a crowd of near copies costs a link per member once, and not once for every
+key and block that holds it.
 """
 
 from __future__ import annotations
@@ -110,32 +112,32 @@ def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside each unit (rows adjacent), as a spanning forest."""
-    unit, ids, sets = None, [], []
+    """Links of the roots that each unit (rows adjacent) connects, as a spanning forest."""
+    unit, roots, sets = None, [], []
 
     def links() -> pa.RecordBatch:
         i, j = similar(sets)
-        parent = _hook(np.arange(len(sets)), i, j)
-        child = np.flatnonzero(parent != np.arange(len(sets)))
-        cids = np.array(ids, dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cids[child]), pa.array(cids[parent[child]])], ["a", "b"])
+        known, at = np.unique(np.array(roots, dtype=np.int64), return_inverse=True)
+        parent = _hook(np.arange(len(known)), at[i], at[j])
+        child = np.flatnonzero(parent != np.arange(len(known)))
+        return pa.RecordBatch.from_arrays([pa.array(known[child]), pa.array(known[parent[child]])], ["a", "b"])
 
     for batch in batches:
-        for name, cid, n_bytes, text in zip(*[c.to_pylist() for c in batch.columns]):
+        for name, root, n_bytes, text in zip(*[c.to_pylist() for c in batch.columns]):
             if name != unit:
                 if len(sets) > 1:
                     yield links()
-                unit, ids, sets = name, [], []
-            ids.append(cid)
+                unit, roots, sets = name, [], []
+            roots.append(root)
             sets.append(shingles(pa.decompress(text, n_bytes, "zstd", asbytes=True).decode("utf-8", "surrogatepass") if n_bytes else None))
     if len(sets) > 1:
         yield links()
 
 
 def _meet(units: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """Verified links among the members ``(unit, cid)`` of each unit."""
+    """Verified links between the roots of the members ``(unit, cid, root)`` of each unit."""
     spark = texts.sparkSession
-    ready = units.join(texts, "cid").select("unit", "cid", "n_bytes", "packed").repartition(fanout(spark), "unit").sortWithinPartitions("unit")
+    ready = units.join(texts, "cid").select("unit", "root", "n_bytes", "packed").repartition(fanout(spark), "unit").sortWithinPartitions("unit")
     return store(ready.mapInArrow(_verify, "a long, b long"), name)
 
 
@@ -147,33 +149,38 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Components of the links and of what is connected already."""
-    return components(links if roots is None else links.union(roots.select("node", "root")))
+    """Components once the links between ``roots`` are added to what is connected already."""
+    found = components(links)
+    if roots is None:
+        return found
+    above = found.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    moved = roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    return store(moved.union(found.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
 def _lists(posted: DataFrame, block: int) -> DataFrame:
-    """``key, cid, size, blocks`` of the posting lists with several components, equal lists once."""
+    """``key, cid, size, root, blocks`` of the posting lists with several components, equal lists once."""
     sums = (F.count("*").alias("n"), F.sum("size").alias("volume"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
     lists = posted.groupBy("key").agg(*sums, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     lists = lists.groupBy("n", "volume", "x", "y").agg(F.min("key").alias("key"))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("volume") / VOLUME)).cast("long")
-    return store(posted.join(lists.select("key", blocks.alias("blocks")), "key").select("key", "cid", "size", "blocks"), "members")
+    return store(posted.join(lists.select("key", blocks.alias("blocks")), "key").select("key", "cid", "size", "root", "blocks"), "members")
 
 
 def _crossing(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """Units ``(unit, cid)`` in which the texts outside a long list's largest component meet all others."""
-    long_lists = _rooted(members.where("blocks > 1"), roots)
+    """Units ``(unit, cid, root)`` in which the texts outside a long list's largest component meet all others."""
+    long_lists = _rooted(members.where("blocks > 1").drop("root"), roots)
     parts = long_lists.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "root", "volume")).alias("m"), F.sum("n").alias("n"), F.sum("volume").alias("volume")).where("n > m.n")
     count = lambda n, volume: F.greatest(F.ceil(n / block), F.ceil(volume / VOLUME), F.lit(1)).cast("long")
     main = main.select("key", F.col("m.root").alias("main"), count(F.col("m.n"), F.col("m.volume")).alias("inner"), count(F.col("n") - F.col("m.n"), F.col("volume") - F.col("m.volume")).alias("outer"))
-    left = store(long_lists.join(main, "key").select("key", "cid", (F.col("root") == F.col("main")).alias("inside"), "inner", "outer"), "left")
+    left = store(long_lists.join(main, "key").select("key", "cid", "root", (F.col("root") == F.col("main")).alias("inside"), "inner", "outer"), "left")
     left = left.withColumn("mine", F.pmod(F.xxhash64("cid", "key"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))))
     steps = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    crossing = left.select("key", "cid", F.when(F.col("inside"), F.col("mine")).alias("b"), F.when(~F.col("inside"), F.col("mine")).alias("a"), F.explode(F.when(F.col("inside"), steps("outer")).otherwise(steps("inner"))).alias("other"))
-    crossing = crossing.select(F.xxhash64("key", F.lit("main"), F.coalesce("a", "other"), F.coalesce("b", "other")).alias("unit"), "cid")
-    among = left.where(~F.col("inside")).select("key", "cid", "mine", F.explode(steps("outer")).alias("other"))
-    return crossing.union(among.select(F.xxhash64("key", F.lit("rest"), F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "cid"))
+    crossing = left.select("key", "cid", "root", F.when(F.col("inside"), F.col("mine")).alias("b"), F.when(~F.col("inside"), F.col("mine")).alias("a"), F.explode(F.when(F.col("inside"), steps("outer")).otherwise(steps("inner"))).alias("other"))
+    crossing = crossing.select(F.xxhash64("key", F.lit("main"), F.coalesce("a", "other"), F.coalesce("b", "other")).alias("unit"), "cid", "root")
+    among = left.where(~F.col("inside")).select("key", "cid", "root", "mine", F.explode(steps("outer")).alias("other"))
+    return crossing.union(among.select(F.xxhash64("key", F.lit("rest"), F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "cid", "root"))
 
 
 def _marked(apart: DataFrame) -> DataFrame:
@@ -187,7 +194,7 @@ def _round(posted: DataFrame, texts: DataFrame, roots: DataFrame | None, block:
     """Components once the texts ``(cid, size, key)`` of equal keys have met."""
     members = _lists(_rooted(posted, roots), block)
     dealt = F.pmod(F.xxhash64("cid", "key"), F.col("blocks"))
-    roots = _joined(_meet(members.select(F.xxhash64("key", dealt).alias("unit"), "cid"), texts, "links"), roots)
+    roots = _joined(_meet(members.select(F.xxhash64("key", dealt).alias("unit"), "cid", "root"), texts, "links"), roots)
     if not members.where("blocks > 1").isEmpty():
         roots = _joined(_meet(_crossing(members, roots, block), texts, "crossing"), roots)
     return roots
