@@ -34,3 +34,12 @@ def test_ellipses_hold_every_hub_of_a_short_detour():
     met = {(int(s), int(h)) for a, b in sites.around(oy, ox, dy, dx, reach) for s, h in zip(a, b)}
     way = np.hypot(y[None] - oy[:, None], x[None] - ox[:, None]) + np.hypot(y[None] - dy[:, None], x[None] - dx[:, None])
     assert {(int(s), int(h)) for s, h in zip(*np.nonzero(way <= reach[:, None]))} <= met and len(met) < 200 * 3000 / 2
+
+
+def test_searches_with_a_brand_read_no_other_whole_list(spark):
+    from tripweave.queries import QUERIES, registry
+
+    registry.forget()
+    found = QUERIES["join_exact_brand"](spark, FOLDER)
+    made = registry.workspace(spark, FOLDER)._made["trip plan"]._made
+    assert "lists" not in made and "shortlist" not in made and found.count() > 0
