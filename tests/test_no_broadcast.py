@@ -35,3 +35,13 @@ def test_searched_sites_are_not_broadcast(spark, monkeypatch):
     found = foci.least_detour(needs, sites, ["id"], ["key"], 1, chord, [F.col("hub_id")], ["hub_id"])
     assert [r.hub_id for r in found.collect()] == [7]
     assert len(plans) == 3 and not any("BroadcastHashJoin" in p for p in plans[1:])
+
+
+def test_pieces_of_names_are_not_broadcast(spark):
+    from tripweave.operators import search
+
+    queries = spark.createDataFrame([("red bolt",), ("redbolt7",)], "q string")
+    hubs = spark.createDataFrame([(1, "Red Bolt 7", "unknown"), (2, "Blue Nut", "unknown")], "hub_id long, name string, closure_status string")
+    found = search.hub_search(queries, hubs)
+    assert "BroadcastHashJoin [_gram" not in plan_of(found)
+    assert sorted((r.q, r.hub_id) for r in found.collect()) == [("red bolt", 1), ("redbolt7", 1)]
